@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash, token_files
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
-    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, radius=4)
+    return simhash.classes(documents(spark, sf_dir), shingle=4, radius=4)
+
+
+def op4_byte_level_bpe(spark, sf_dir):
+    import public_tokenizers as P
+
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    tokens = bpe.encode(documents(spark, sf_dir), bpe.RankEncoder(ranks, P.PATTERN))
+    return bpe.digests(bpe.decode(tokens, ranks))
+
+
+def op5_token_files(spark, sf_dir):
+    import public_tokenizers as P
+
+    manifest = token_files.write(documents(spark, sf_dir), bpe.JsonEncoder(P.path("byte_bpe_50k.json")), end_id=0)
+    return token_files.checksums(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_byte_level_bpe, op5_token_files)}
 SQL: dict[str, str] = {}
