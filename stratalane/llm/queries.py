@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, token_files
+from . import bpe, decontaminate, simhash, token_files, topk
 
 
 def table(spark, sf_dir, name):
@@ -17,6 +17,11 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.classes(documents(spark, sf_dir), shingle=4, radius=4)
 
 
+def op3_exact_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5, scale=256)
+
+
 def op4_byte_level_bpe(spark, sf_dir):
     import public_tokenizers as P
 
@@ -32,5 +37,51 @@ def op5_token_files(spark, sf_dir):
     return token_files.checksums(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_byte_level_bpe, op5_token_files)}
-SQL: dict[str, str] = {}
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("th")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op7_benchmark_decontamination)}
+
+SQL = {
+    "op3_exact_topk": """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.c::double[], c.c::double[]) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.c) = len(c.c)
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op7_benchmark_decontamination": r"""
+with d as (
+  select row_number() over () as k, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from documents
+), i as (
+  select distinct coalesce(cast(item_id as varchar), '') as item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null
+), iw as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') as win
+  from i, unnest(range(0, greatest(len(w) - 13, 0) + 1)) as t(s) where len(w) > 0
+), dw as (
+  select k, n, s, array_to_string(w[s + 1 : s + n], ' ') as win
+  from d, (select distinct n from iw) l, unnest(range(0, len(w) - n + 1)) as t(s)
+), m as (
+  select k, s, dw.n, item_id from dw join iw on dw.n = iw.n and dw.win = iw.win
+), h as (
+  select k, count(distinct p) as n_hit from m, unnest(range(s, s + n)) as t(p) group by k
+), g as (
+  select k, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct k, item_id from m) group by k
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (k) left join g using (k)
+""",
+}
