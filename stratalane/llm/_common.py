@@ -73,3 +73,16 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES):
 
 def total_bytes(docs: DataFrame, column: str) -> int:
     return docs.select(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
+
+
+def arrow_udf(schema: str):
+    """F.arrow_udf for functions of arrays to an array, without hints that name pyarrow at import."""
+    import inspect
+
+    import pyarrow as pa
+
+    def wrap(f):
+        f.__annotations__ = {name: pa.Array for name in inspect.signature(f).parameters} | {"return": pa.Array}
+        return F.arrow_udf(f, schema)
+
+    return wrap

@@ -20,10 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, total_bytes
+from ._common import buffers, pieces, total_bytes
 from .pretokens import cuts, dictionary
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @functools.cache
@@ -112,6 +112,35 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
+def _pack_rows(batches: Iterator) -> Iterator:
+    """Rows (block, id, text) to one row per block and batch: the ids, and the texts compressed together."""
+    import pyarrow as pa
+
+    for batch in batches:
+        offsets, raw = buffers(batch.column(2))
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+        stops = np.append(heads[1:], len(order))
+        view = memoryview(np.ascontiguousarray(raw))
+        lens = np.diff(offsets).astype("<u4")
+        blobs = []
+        for a, b in zip(heads.tolist(), stops.tolist()):
+            rows = order[a:b]
+            text = b"".join(view[offsets[k] : offsets[k + 1]] for k in rows.tolist())
+            blobs.append(_pack(lens[rows], np.frombuffer(text, np.uint8)))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), batch.column(1).take(pa.array(order)))
+        yield pa.RecordBatch.from_arrays([pa.array(block[order[heads]]), ids, pa.array(blobs, pa.binary())], names=["block", "ids", "texts"])
+
+
+def _unpack_rows(table):
+    """Ids, offsets and bytes of the texts of a block, in the order of the packed rows."""
+    got = [_unpack(x, 2) for x in table.column("texts").to_pylist()]
+    lens = np.concatenate([np.frombuffer(x, "<u4") for x, _ in got]).astype(np.int64)
+    ids = table.column("ids").combine_chunks()
+    return ids.flatten(), np.append(0, np.cumsum(lens)), np.frombuffer(b"".join(x for _, x in got), np.uint8)
+
+
 def _owned(words, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of a block's distinct words, and each one's owner, from the words alone."""
     from xxhash import xxh3_64_intdigest as h
@@ -130,7 +159,7 @@ def _send(owners: int):
     def run(key, table):
         import pyarrow as pa
 
-        offsets, raw = buffers(table.column("text"))
+        _, offsets, raw = _unpack_rows(table)
         starts, _ = cuts(offsets, raw)
         _, words = dictionary(starts, raw)
         order, owner = _owned(words, owners)
@@ -172,7 +201,7 @@ def _join(encoder, owners: int, finish: Callable):
     def run(key, left, right):
         import pyarrow as pa
 
-        offsets, raw = buffers(left.column("text"))
+        keys, offsets, raw = _unpack_rows(left)
         starts, odd = cuts(offsets, raw)
         codes, words = dictionary(starts, raw)
         order, _ = _owned(words, owners)
@@ -192,23 +221,25 @@ def _join(encoder, owners: int, finish: Callable):
         if odd.any():
             each = [np.array(encoder.text(texts[offsets[k] : offsets[k + 1]].decode()), np.uint32) if odd[k] else flat[ends[k] : ends[k + 1]] for k in range(len(odd))]
             flat, ends = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
-        return finish(key[0].as_py(), left, ends.astype(np.int64), flat)
+        return finish(key[0].as_py(), keys, offsets, texts, ends.astype(np.int64), flat)
 
     return run
 
 
 def by_block(docs: DataFrame, blocks: int, encoder, finish: Callable, schema: str) -> DataFrame:
-    """docs(block, id, text) to what finish(block, rows, ends, ids) makes of each block."""
+    """docs(block, id, text) to what finish(block, keys, offsets, texts, ends, ids) makes of each block."""
     owners = max(4, blocks // 4)
+    kind = docs.schema["id"].dataType.simpleString()
+    docs = docs.select("block", "id", "text").mapInArrow(_pack_rows, f"block long, ids array<{kind}>, texts binary")
     sent = docs.groupBy("block").applyInArrow(_send(owners), "block long, owner long, words binary")
     ids = sent.groupBy("owner").applyInArrow(_encode(encoder), "block long, owner long, ids binary")
     return docs.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(encoder, owners, finish), schema)
 
 
-def _listed(block, rows, ends, ids):
+def _listed(block, keys, offsets, texts, ends, ids):
     import pyarrow as pa
 
-    return pa.table({"id": rows.column("id"), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))})
+    return pa.table({"id": keys, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))})
 
 
 def encode(docs: DataFrame, encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,43 +263,50 @@ def token_bytes(path: str):
     return pa.array(table, pa.large_binary())
 
 
-def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """Adds the decoded bytes to rows of ids; the table of a token's bytes has the vocabulary's fixed size."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields) + f", `{out_col}` binary"
+def _slices(batch, ids_col: int, most: int = 1 << 20):
+    """The rows of a batch in slices of about `most` ids."""
+    lens = batch.column(ids_col).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in pieces(np.append(0, np.cumsum(lens)), most):
+        yield batch.slice(a, b - a), lens[a:b]
+
+
+def decoder(path: str, ids_col: str, out_col: str) -> Callable:
+    """Batches of rows with ids to the same rows with their decoded bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         table = token_bytes(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            ids = batch.column(at)
-            flat = ids.flatten()
-            ends, raw = buffers(table.take(flat))
-            lens = np.array([0 if x is None else x for x in ids.value_lengths().to_pylist()], np.int64)
-            marks = np.append(0, np.cumsum(lens))
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[marks]), pa.py_buffer(np.ascontiguousarray(raw))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.binary())], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            at = whole.schema.get_field_index(ids_col)
+            for batch, lens in _slices(whole, at):
+                ends, raw = buffers(table.take(batch.column(at).flatten()))
+                marks = np.append(0, np.cumsum(lens))
+                text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends[marks]), pa.py_buffer(np.ascontiguousarray(raw))])
+                yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.binary())], names=[*batch.schema.names, out_col])
 
-    return tokens.mapInArrow(run, schema)
+    return run
 
 
-def digests(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """n_tokens, and SHA-256 of the ids' decimals and of the decoded bytes."""
-    kind = tokens.schema[id_col].dataType.simpleString()
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    """Adds the decoded bytes to rows of ids; the table of a token's bytes has the vocabulary's fixed size."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields) + f", `{out_col}` binary"
+    return tokens.mapInArrow(decoder(path, ids_col, out_col), schema)
 
-    def run(batches: Iterator) -> Iterator:
-        import hashlib
 
-        import pyarrow as pa
+def _digest(batches: Iterator) -> Iterator:
+    import hashlib
+
+    import pyarrow as pa
 
-        for batch in batches:
-            ids = batch.column(1)
-            lens = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = ids.flatten().to_numpy()
-            top = int(flat.max()) + 1 if len(flat) else 1
-            decimal = pa.array([b"%d " % k for k in range(top)], pa.large_binary()) if top < 1 << 20 else None
-            ends, raw = buffers(decimal.take(pa.array(flat)) if decimal is not None else pa.array([b"%d " % k for k in flat.tolist()], pa.large_binary()))
+    decimal = pa.array([], pa.large_binary())
+    for whole in batches:
+        for batch, lens in _slices(whole, 1):
+            flat = batch.column(1).flatten().to_numpy()
+            top = int(flat.max()) + 1 if len(flat) else 0
+            if top > len(decimal):
+                decimal = pa.array([b"%d " % k for k in range(top)], pa.large_binary())
+            ends, raw = buffers(decimal.take(pa.array(flat)))
             marks = ends[np.append(0, np.cumsum(lens))]
             view = memoryview(np.ascontiguousarray(raw))
             hexed = [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(marks[:-1].tolist(), marks[1:].tolist())]
@@ -277,4 +315,10 @@ def digests(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tex
             text = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens), pa.array(hexed), pa.array(text)], names=["i", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return tokens.select(id_col, ids_col, text_col).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+
+def digests(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """n_tokens, and SHA-256 of the ids' decimals and of the bytes that they decode to."""
+    kind = tokens.schema[id_col].dataType.simpleString()
+    decoded = decoder(path, "ids", "text")
+    # decoding and hashing take turns in one worker, slice by slice
+    return tokens.select(F.col(id_col), F.col(ids_col).alias("ids")).mapInArrow(lambda batches: _digest(decoded(batches)), f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, token_files, topk
+from . import bpe, decontaminate, line_dedup, simhash, suffix, token_files, topk
 
 
 def table(spark, sf_dir, name):
@@ -27,7 +27,7 @@ def op4_byte_level_bpe(spark, sf_dir):
 
     ranks = P.path("byte_bpe_50k.tiktoken")
     tokens = bpe.encode(documents(spark, sf_dir), bpe.RankEncoder(ranks, P.PATTERN))
-    return bpe.digests(bpe.decode(tokens, ranks))
+    return bpe.digests(tokens, ranks)
 
 
 def op5_token_files(spark, sf_dir):
@@ -37,11 +37,22 @@ def op5_token_files(spark, sf_dir):
     return token_files.checksums(manifest)
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("th")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op7_benchmark_decontamination)}
+def op10_suffix_array_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    rows = suffix.dedup(documents(spark, sf_dir), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op6_line_dedup, op7_benchmark_decontamination, op10_suffix_array_dedup)}
 
 SQL = {
     "op3_exact_topk": """

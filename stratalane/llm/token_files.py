@@ -101,16 +101,18 @@ def write(docs: DataFrame, encoder, end_id: int = 0, id_col: str = "doc_id", tex
 
         return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cut, ids.fillna(0).to_numpy(), "right")))
 
-    def finish(block, rows, ends, ids):
+    def finish(block, ids_of, offsets, texts, ends, ids):
         import pyarrow as pa
 
-        keys, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist() if rows.column("id").null_count or len(set(rows.column("id").to_pylist())) < len(rows) else None
-        order = sorted(range(len(keys)), key=lambda k: (keys[k] is not None, keys[k] or 0, texts[k] if texts else 0))
+        keys = ids_of.to_pylist()
+        text = lambda k: texts[offsets[k] : offsets[k + 1]]
+        tied = len(set(keys)) < len(keys)
+        order = sorted(range(len(keys)), key=lambda k: (keys[k] is not None, keys[k] or 0, text(k) if tied else b""))
         parts = [np.append(ids[ends[k] : ends[k + 1]], np.uint32(end_id)) for k in order]
         counts = np.array([len(p) for p in parts], np.int64)
         uri = f"{folder}/part-{block + 1:09d}.arrow"
         write_file(uri, np.concatenate(parts), sequence)
-        return pa.table({"id": rows.column("id").take(pa.array(order)), "block": pa.array([block] * len(order), pa.int64()), "file": pa.array([uri] * len(order)), "first": pa.array(np.cumsum(counts) - counts), "n_tokens": pa.array(counts)})
+        return pa.table({"id": ids_of.take(pa.array(order)), "block": pa.array([block] * len(order), pa.int64()), "file": pa.array([uri] * len(order)), "first": pa.array(np.cumsum(counts) - counts), "n_tokens": pa.array(counts)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(block_of(F.col(id_col)).alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
