@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, simhash, suffix, token_files, topk
+from . import bpe, decontaminate, licenses, line_dedup, quality, simhash, suffix, token_files, topk
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.classes(documents(spark, sf_dir), shingle=4, radius=4)
 
@@ -45,6 +49,14 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("th")
 
 
+def op9_quality_classifier(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf_dir)
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights).select("row.doc_id", "score", (F.col("score") < 0.5).alias("keep"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -52,9 +64,10 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op6_line_dedup, op7_benchmark_decontamination, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op6_line_dedup, op7_benchmark_decontamination, op9_quality_classifier, op10_suffix_array_dedup)}
 
 SQL = {
+    "op1_license_scan": licenses.oracle(),
     "op3_exact_topk": """
 with v as (
   select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
