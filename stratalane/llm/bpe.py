@@ -98,18 +98,23 @@ class JsonEncoder:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays, each in the fewest bytes that its values need, compressed together."""
     import zstandard
 
-    head = np.array([len(a.tobytes()) for a in arrays], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    arrays = [a.astype(np.min_scalar_type(int(a.max()))) if a.itemsize > 1 and len(a) else a for a in arrays]
+    head = np.array([[len(a), a.itemsize] for a in arrays], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def _unpack(blob: bytes, n: int) -> list[bytes]:
+def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)) + 4 * n
-    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+    out, at = [], 8 * n
+    for length, size in np.frombuffer(raw, "<u4", 2 * n).reshape(n, 2).tolist():
+        out.append(np.frombuffer(raw, f"<u{size}", length, at))
+        at += length * size
+    return out
 
 
 def _pack_rows(batches: Iterator) -> Iterator:
@@ -136,9 +141,9 @@ def _pack_rows(batches: Iterator) -> Iterator:
 def _unpack_rows(table):
     """Ids, offsets and bytes of the texts of a block, in the order of the packed rows."""
     got = [_unpack(x, 2) for x in table.column("texts").to_pylist()]
-    lens = np.concatenate([np.frombuffer(x, "<u4") for x, _ in got]).astype(np.int64)
+    lens = np.concatenate([x for x, _ in got]).astype(np.int64)
     ids = table.column("ids").combine_chunks()
-    return ids.flatten(), np.append(0, np.cumsum(lens)), np.frombuffer(b"".join(x for _, x in got), np.uint8)
+    return ids.flatten(), np.append(0, np.cumsum(lens)), np.concatenate([x for _, x in got])
 
 
 def _owned(words, owners: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +183,8 @@ def _encode(encoder):
         import pyarrow as pa
 
         blobs = [_unpack(x, 2) for x in table.column("words").to_pylist()]
-        lens = [np.frombuffer(x, "<u4") for x, _ in blobs]
-        raw = np.frombuffer(b"".join(x for _, x in blobs), np.uint8)
+        lens = [x for x, _ in blobs]
+        raw = np.concatenate([x for _, x in blobs])
         sizes = np.concatenate(lens).astype(np.int64)
         codes, words = dictionary(np.cumsum(sizes) - sizes, raw)
         ids = encoder.words(words.to_pylist())
@@ -191,7 +196,7 @@ def _encode(encoder):
             part = codes[at : at + len(x)]
             at += len(x)
             got = ids.take(pa.array(part)).flatten().to_numpy()
-            out.append(_pack(counts[part].astype("<u4"), got.astype("<u4")))
+            out.append(_pack(counts[part], got))
         return pa.table({"block": table.column("block"), "owner": table.column("owner"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -206,10 +211,11 @@ def _join(encoder, owners: int, finish: Callable):
         codes, words = dictionary(starts, raw)
         order, _ = _owned(words, owners)
         got = [_unpack(x, 2) for _, x in sorted(zip(right.column("owner").to_pylist(), right.column("ids").to_pylist()))]
-        counts = np.frombuffer(b"".join(x for x, _ in got), "<u4").astype(np.int64)
+        none = np.zeros(0, np.int64)
+        counts = np.concatenate([none, *(x.astype(np.int64) for x, _ in got)])
         if len(counts) != len(order):
             raise RuntimeError("the ids of a block don't fit its words")
-        ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(np.frombuffer(b"".join(x for _, x in got), "<u4")))
+        ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(np.concatenate([none, *(x for _, x in got)]).astype(np.uint32)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         at = rank[codes]
