@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import arrow_udf, buffers
 
 BITS = 18
-LABELLED, UNLABELLED = 6000, 2000
+LABELLED, UNLABELLED = 10000, 2000
 #: Words that insult.
 INSULTS = {"loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid"}
 LABELLERS = ["repeats", "capitals", "symbols", "bangs", "pipes", "lines", "insults", "prose", "listed", "curated"]
@@ -113,7 +113,7 @@ def maximise(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarra
     return post, table
 
 
-def train(features: list[np.ndarray], target: np.ndarray, epochs: int = 8, batch: int = 64, alpha: float = 0.1, l1: float = 0.3, l2: float = 1.0) -> np.ndarray:
+def train(features: list[np.ndarray], target: np.ndarray, epochs: int = 15, batch: int = 64, alpha: float = 0.3, l1: float = 0.3, l2: float = 1.0) -> np.ndarray:
     """FTRL-proximal logistic regression; the bias is the last weight."""
     size = (1 << BITS) + 1
     z, s, w = np.zeros(size), np.zeros(size), np.zeros(size)
@@ -136,6 +136,16 @@ def train(features: list[np.ndarray], target: np.ndarray, epochs: int = 8, batch
     return w.astype(np.float32)
 
 
+def screen(flat: np.ndarray, row: np.ndarray, post: np.ndarray, least: float = 4.0) -> np.ndarray:
+    """Features whose share of rejected texts is `least` standard errors off the sample's: words that only
+    happen to stand in a few rejected texts would otherwise explain these, in place of the words that matter."""
+    bad, good = np.bincount(flat, post[row], 1 << BITS), np.bincount(flat, 1 - post[row], 1 << BITS)
+    n, share = bad + good, post.mean()
+    expected = n * share
+    z = (bad - expected) / np.sqrt(expected * (1 - share) + 1e-9)
+    return (n >= 4) & (np.abs(z) >= least)
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> np.ndarray:
     """Weights of the scorer. labels(id, quality, toxic); a row is to be rejected for quality 0 or toxic 1."""
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
@@ -166,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     hits = np.bincount(row, listed[flat], n)
     matrix = np.column_stack([heur, np.where(hits > 0, 1, 0), y])
     post, _ = maximise(matrix)
-    return train(feats, post)
+    telling = screen(flat, row, post)
+    return train([f[telling[f]] for f in feats], post)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
