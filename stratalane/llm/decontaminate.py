@@ -2,8 +2,8 @@
 
 The index stores a posting (term, document, position) for every occurrence of a benchmark term in the
 corpus, and one of the empty term for each document's length. An item is cut into windows of words; each
-window is sought from its rarest term: that term's postings, less the term's offset in the item, are
-candidate alignments of item and document. The positions at which an alignment needs each of the item's
+window is sought from its two rarest terms: their postings, less a term's offset in the item, are lists of
+alignments of item and document, and those in both lists are candidates. The positions at which an alignment needs each of the item's
 terms are intersected with the postings; runs of hits as long as a window are exact phrase matches.
 Proximity matches ask for an item's rarest terms within a span, in any order.
 
@@ -61,15 +61,20 @@ def phrases(postings: DataFrame, items: DataFrame) -> DataFrame:
     items = rarest(postings, items)
     starts = F.sequence(F.lit(0), F.size("terms") - F.col("w"))
     windows = items.select("item", "terms", "dfs", "w", F.explode(starts).alias("s")).select("item", "terms", "s", F.slice("dfs", F.col("s") + 1, F.col("w")).alias("part"))
-    best = F.array_min(F.transform("part", lambda n, i: F.struct(n.alias("n"), i.alias("i"))))
-    anchors = windows.select("item", "terms", (F.col("s") + best["i"]).alias("o"), best["n"].alias("n")).where("n > 0")
-    anchors = stash(anchors.select("item", "o", F.element_at("terms", F.col("o") + 1).alias("term")).distinct(), "anchors")
-    aligned = postings.join(_small(anchors), "term").select("kid", "th", "item", (F.col("pos") - F.col("o")).alias("diag")).distinct()
+    # the two rarest offsets of each window (one, if the window is one word)
+    two = F.slice(F.array_sort(F.transform("part", lambda n, i: F.struct(n.alias("n"), i.alias("i")))), 1, 2)
+    windows = windows.select("item", "terms", "s", two.alias("two")).where(F.col("two")[0]["n"] > 0)
+    windows = windows.select("item", "terms", F.transform("two", lambda x: x["i"] + F.col("s")).alias("pair")).distinct()
+    anchors = windows.select("item", "terms", F.explode("pair").alias("o")).select("item", "o", F.element_at("terms", F.col("o") + 1).alias("term")).distinct()
+    pairs = stash(windows.groupBy("item").agg(F.collect_set("pair").alias("pairs")), "pairs")
+    lists = postings.join(_small(stash(anchors, "anchors")), "term").select("kid", "th", "item", (F.col("pos") - F.col("o")).alias("diag"), "o")
+    aligned = lists.groupBy("kid", "th", "item", "diag").agg(F.collect_set("o").alias("os")).join(_small(pairs), "item")
+    aligned = aligned.where(F.exists("pairs", lambda p: F.forall(p, lambda o: F.array_contains("os", o)))).select("kid", "th", "item", "diag")
     aligned = stash(aligned, "aligned")
     shown = _small(items.select("item", "item_id", "w", F.posexplode("terms").alias("o", "term")))
     need = aligned.join(shown, "item").select("kid", "th", (F.col("diag") + F.col("o")).alias("pos"), "term", "item", "item_id", "w", "diag", "o").where("pos >= 0")
-    near = postings.join(_small(aligned.select("kid", "th").distinct()), ["kid", "th"], "left_semi").select("kid", "th", "pos", "term").distinct()
-    met = need.join(near, ["kid", "th", "pos", "term"])
+    near = postings.join(_small(aligned.select("kid", "th").distinct()), ["kid", "th"], "left_semi").select("kid", "th", "pos", "term")
+    met = need.join(near, ["kid", "th", "pos", "term"]).select("kid", "th", "item", "item_id", "w", "diag", "o").distinct()
     run = F.col("o") - F.row_number().over(Window.partitionBy("kid", "th", "item", "diag").orderBy("o"))
     met = met.select("kid", "th", "item", "item_id", "w", "diag", "o", run.alias("run"))
     runs = met.groupBy("kid", "th", "item", "item_id", "w", "diag", "run").agg(F.min("o").alias("a"), F.max("o").alias("b"))
