@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, line_dedup, quality, simhash, suffix, token_files, topk
+from . import bpe, decontaminate, licenses, line_dedup, pii, quality, simhash, suffix, token_files, topk
 
 
 def table(spark, sf_dir, name):
@@ -49,6 +49,11 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=13, share=20).drop("th")
 
 
+def op8_pii(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return pii.report(pii.find(docs, pii.fit(docs)))
+
+
 def op9_quality_classifier(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -64,7 +69,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op6_line_dedup, op7_benchmark_decontamination, op9_quality_classifier, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_exact_topk, op4_byte_level_bpe, op5_token_files, op6_line_dedup, op7_benchmark_decontamination, op8_pii, op9_quality_classifier, op10_suffix_array_dedup)}
 
 SQL = {
     "op1_license_scan": licenses.oracle(),

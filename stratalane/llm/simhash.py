@@ -30,7 +30,7 @@ from ._graph import components, forest
 TILE = 4096
 WIDE_TILE = 32768
 #: Odd multipliers that turn a shingle's hash into one more word of a wide fingerprint.
-WORDS = [1, *(int(x) for x in np.random.default_rng(42).integers(1, 2**63, 15) * 2 + 1)]
+WORDS = [1, *(int(x) * 2 + 1 for x in np.random.default_rng(42).integers(1, 2**63, 15))]
 
 
 def hashes(text: bytes, shingle: int) -> np.ndarray:
