@@ -17,11 +17,15 @@ from ..plans.blocks import LANES
 from .kernels import SCALES
 
 KEY = ["col", "kind", "block"]
-W = Window.partitionBy(*KEY).orderBy("i")
 SIGNED = [k for k, (_, _, s) in LANES.items() if s]
 FLOATS = [k for k, (f, _, _) in LANES.items() if f == "float"]
 
 
+def in_block():
+    """A block's rows in order; made on use, as a window needs a session."""
+    return Window.partitionBy(*KEY).orderBy("i")
+
+
 def lane_bytes() -> Column:
     return reduce(lambda c, k: c.when(F.col("kind") == k, LANES[k][1]), LANES, F.when(F.lit(False), 0)).otherwise(8)
 
@@ -37,7 +41,7 @@ def stretch(width: Column) -> Column:
 
 def moved(rows: DataFrame) -> DataFrame:
     """Adds the value before, wrapped difference, its zig-zag and the xor with the value before."""
-    prev = F.lag("lane").over(W)
+    prev = F.lag("lane").over(in_block())
     rows = rows.withColumn("prev", prev)
     delta = F.coalesce(wrap_sub(F.col("lane"), F.col("prev")), F.lit(0).cast("long"))
     return rows.withColumn("delta", delta).withColumn("zz", zigzag(F.col("delta"))).withColumn("xored", F.col("lane").bitwiseXOR(F.coalesce("prev", F.lit(0).cast("long"))))
@@ -94,8 +98,8 @@ def _packed(rows: DataFrame, value: Column, at: Column, keys: list[str], name: s
 
 def runs(rows: DataFrame) -> DataFrame:
     """Runs of equal lanes: (run, value, len)."""
-    change = F.when(F.lag("lane").over(W).eqNullSafe(F.col("lane")) & (F.col("i") > 0), 0).otherwise(1)
-    out = rows.withColumn("c", change).withColumn("run", F.sum("c").over(W) - 1)
+    change = F.when(F.lag("lane").over(in_block()).eqNullSafe(F.col("lane")) & (F.col("i") > 0), 0).otherwise(1)
+    out = rows.withColumn("c", change).withColumn("run", F.sum("c").over(in_block()) - 1)
     return out.groupBy(*KEY, "run").agg(F.first("lane").alias("value"), F.count("*").alias("len"))
 
 
@@ -149,7 +153,7 @@ def predicted(rows: DataFrame, deltas: bool = False) -> DataFrame:
     x = moved(rows).withColumn("x", F.col("delta") if deltas else F.col("lane")) if deltas else rows.withColumn("x", F.col("lane"))
     if deltas:  # the first difference is the first value itself
         x = x.withColumn("x", F.when(F.col("i") == 0, F.col("lane")).otherwise(F.col("delta")))
-    x = x.withColumn("ctx", F.coalesce(F.lag("x").over(W), F.lit(0).cast("long")))
+    x = x.withColumn("ctx", F.coalesce(F.lag("x").over(in_block()), F.lit(0).cast("long")))
     by = Window.partitionBy(*KEY, "ctx").orderBy("i")
     return x.withColumn("pred", F.coalesce(F.lag("x").over(by), F.lit(0).cast("long")))
 

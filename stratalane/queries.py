@@ -305,7 +305,7 @@ def delta_zigzag(spark, sf):
 def delta_roundtrip(spark, sf):
     """Prefix sums of differences give the lanes back."""
     x = sizes.moved(rows_of(spark, sf))
-    back = F.first("lane").over(sizes.W) + F.sum(L.unzigzag(F.col("zz"))).over(sizes.W)
+    back = F.first("lane").over(sizes.in_block()) + F.sum(L.unzigzag(F.col("zz"))).over(sizes.in_block())
     return x.select("col", "pos", back.alias("lane"))
 
 
@@ -316,7 +316,7 @@ def delta_roundtrip(spark, sf):
     )
 )
 def ordered_delta(spark, sf):
-    lag = lambda k: F.lag("lane", k).over(sizes.W)
+    lag = lambda k: F.lag("lane", k).over(sizes.in_block())
     pred = F.when(F.col("i") == 0, F.lit(0).cast("long")).when(F.col("i") == 1, lag(1)).otherwise(L.wrap_sub(L.wrap_add(lag(1), lag(1)), lag(2)))
     return rows_of(spark, sf).select("col", "pos", L.wrap_sub(F.col("lane"), pred).alias("d2"))
 
@@ -335,7 +335,7 @@ def poly_differences(spark, sf):
     """Mean size of first to third differences, which chooses the order of extrapolation."""
     x = with_value(rows_of(spark, sf, ints=False, floats=True)).withColumn("v", F.col("value"))
     for k in (1, 2, 3):
-        x = x.withColumn(f"l{k}", F.lag("value", k).over(sizes.W))
+        x = x.withColumn(f"l{k}", F.lag("value", k).over(sizes.in_block()))
     m = [F.round(F.avg(F.when(F.col("i") >= k, F.abs(F.expr(_DIFFS[k])))), 6).alias(f"m{k}") for k in (1, 2, 3)]
     return x.groupBy("col", "block").agg(*m)
 
@@ -349,7 +349,7 @@ def poly_differences(spark, sf):
 def poly_prediction(spark, sf):
     """Second-order extrapolation with its warm-up."""
     x = with_value(rows_of(spark, sf, ints=False, floats=True))
-    l1, l2 = (F.lag("value", k).over(sizes.W) for k in (1, 2))
+    l1, l2 = (F.lag("value", k).over(sizes.in_block()) for k in (1, 2))
     p = F.when(F.col("i") == 0, F.lit(0.0)).when(F.col("i") == 1, l1).otherwise(F.lit(2.0) * l1 + F.lit(-1.0) * l2)
     return x.select("col", "pos", p.alias("predicted"))
 
@@ -476,7 +476,7 @@ def byte_planes(spark, sf):
 def order1_entropy(spark, sf):
     """Conditional entropy of the lowest byte given the one before: the size of a context-modelling coder."""
     x = rows_of(spark, sf, ("orders",), floats=True).withColumn("b", L.byte_plane(F.col("lane"), 0))
-    x = x.withColumn("a", F.coalesce(F.lag("b").over(sizes.W), F.lit(0).cast("long")))
+    x = x.withColumn("a", F.coalesce(F.lag("b").over(sizes.in_block()), F.lit(0).cast("long")))
     c = x.groupBy("col", "block", "a", "b").agg(F.count("*").alias("c"))
     c = c.withColumn("m", F.sum("c").over(Window.partitionBy("col", "block", "a")))
     return c.groupBy("col", "block").agg(F.round(F.sum(F.col("c") * F.log2(F.col("m") / F.col("c"))) / 8, 6).alias("bytes"))
