@@ -101,6 +101,10 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: The feature without which a segment cannot be of a kind.
+_FORM = {"email": "mailTrue", "ip": "octetsTrue", "card": "cardTrue", "phone": "l0"}
+
+
 def _class(c: str) -> str:
     return "d" if c.isdigit() else "a" if c.isalpha() else "s" if c.isspace() else c if c in ".,;:@/=\"-_+" else "o"
 
@@ -169,8 +173,8 @@ def _scored(model: Model, text: str, tokens):
     for i, j in candidates(text, tokens):
         f = features(text, tokens[i][0], tokens[j - 1][1])
         for k in KINDS:
-            # numbers that fail their check are no cards or addresses in whatever guise
-            if k == "card" and "cardTrue" not in f or k == "ip" and "octetsTrue" not in f:
+            # a segment competes only for kinds whose form it has: checksum, octets, an at sign, no letters
+            if _FORM[k] not in f:
                 continue
             segs.append((i, j, k, f, model.segment(k, f)))
     out = [model.w.get(model.outside(text, t), 0.0) for t in tokens]
@@ -313,7 +317,7 @@ def added(model: Model, text: str, known: list[tuple[str, int, int]], least: flo
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> Model:
     """Trains on the documents with triggers, `sample` of them at most (those with the smallest hash), cut to windows around triggers."""
-    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t")).where(F.rlike("t", F.lit("[0-9]{6}|@|[0-9]\\.[0-9]")))
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t")).where(F.rlike("t", F.lit("[0-9][0-9 ().-]{5,}[0-9]|@")))
 
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
