@@ -56,7 +56,11 @@ def varint_len(x: Column) -> Column:
 
 
 def double_bits(x: Column) -> Column:
-    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x.cast("double")).cast("long")
+    return F.when(x.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x.cast("double")).cast("long"))
+
+
+def bits_double(lane: Column) -> Column:
+    return F.when(lane.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), lane).cast("double"))
 
 
 def exponent(lane: Column) -> Column:

@@ -167,7 +167,7 @@ def alp_search(v: np.ndarray) -> tuple[int, int] | None:
             if bad == len(s):
                 width = 64
             else:
-                width = int(bit_len(np.array([d[ok].max() - d[ok].min()]).view(U))[0])
+                width = (int(d[ok].max()) - int(d[ok].min())).bit_length()
             cost = width * len(s) + 80 * bad
             if best is None or cost < best[0]:
                 best = (cost, bad, e, f)

@@ -48,7 +48,7 @@ def rows_of(spark, sf_dir, names=("events", "orders"), ints=True, floats=False,
 
 def with_value(rows: DataFrame) -> DataFrame:
     """Adds the double of float lanes, by arithmetic on the bits that stays in the JVM."""
-    return rows.withColumn("value", F.when(F.col("kind").isin(sizes.FLOATS), F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.col("lane")).cast("double")))
+    return rows.withColumn("value", F.when(F.col("kind").isin(sizes.FLOATS), L.bits_double(F.col("lane"))))
 
 
 # --- SQL of the lanes
