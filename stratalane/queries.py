@@ -18,13 +18,20 @@ from .plans import blocks as B
 SIZE = 4096
 #: table: (order key, integer or time columns, double columns)
 TABLES = {
-    "events": ("event_id", ["event_id", "ts", "user_id"], ["value"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "day", "zero"], ["value"]),
     "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderdate"], ["o_totalprice"]),
     "customer": ("c_custkey", ["c_custkey", "c_nationkey"], ["c_acctbal"]),
     "part": ("p_partkey", ["p_partkey", "p_size"], ["p_retailprice"]),
 }
 
 
+#: Columns made from others, for runs and constants: in Spark and in SQL.
+DERIVED = {
+    "day": ("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 86400000000", "epoch_us(ts) // 86400000000"),
+    "zero": ("cast(0 as bigint)", "0"),
+}
+
+
 def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +39,8 @@ def table(spark, sf_dir, name) -> DataFrame:
 def numbered(spark, sf_dir, name) -> DataFrame:
     """A table with positions in the order of its key, without its strings."""
     key, ints, floats = TABLES[name]
-    return B.number(table(spark, sf_dir, name).select(*dict.fromkeys([key, *ints, *floats])), [key])
+    cols = [F.expr(DERIVED[c][0]).alias(c) if c in DERIVED else F.col(c) for c in dict.fromkeys([key, *ints, *floats])]
+    return B.number(table(spark, sf_dir, name).select(*cols), [key])
 
 
 def rows_of(spark, sf_dir, names=("events", "orders"), ints=True, floats=False, size=SIZE) -> DataFrame:
@@ -68,7 +76,8 @@ def sql_rows(names=("events", "orders"), ints=True, floats=False, size=SIZE) ->
         for c in (i if ints else []) + (f if floats else []):
             kind = _KIND.get(c, "double" if c in f else "bigint")
             value = c if c in f else "NULL::DOUBLE"
-            parts.append(f"SELECT '{t}.{c}' AS col, '{kind}' AS kind, row_number() OVER (ORDER BY {key}) - 1 AS pos, {_lane(c, kind)} AS lane, {value} AS value FROM {t}")
+            expr = DERIVED[c][1] if c in DERIVED else c
+            parts.append(f"SELECT '{t}.{c}' AS col, '{kind}' AS kind, row_number() OVER (ORDER BY {key}) - 1 AS pos, {_lane(expr, kind)} AS lane, {value} AS value FROM {t}")
     return f"rows AS (SELECT *, pos // {size} AS block, pos % {size} AS i FROM ({' UNION ALL '.join(parts)}))"
 
 
