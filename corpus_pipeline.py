@@ -37,7 +37,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = P.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, bpe.RankEncoder(ranks, P.PATTERN)), ranks)
+    return bpe.encode(docs, bpe.RankEncoder(ranks, P.PATTERN), then=bpe.digester(ranks), schema=bpe.DIGESTS)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ CHUNK_BYTES = 4 << 20
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a fresh local one only where it is unset."""
+    tune(spark)
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -72,6 +73,7 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES):
 
 
 def total_bytes(docs: DataFrame, column: str) -> int:
+    tune(docs.sparkSession)
     return docs.select(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0]
 
 
@@ -86,3 +88,32 @@ def arrow_udf(schema: str):
         return F.arrow_udf(f, schema)
 
     return wrap
+
+
+#: Bytes of a batch of rows between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers by bytes, so that long texts don't pile up there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers stay alive between tasks, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def trimmed(batches):
+    for batch in batches:
+        yield batch
+        del batch
+        trim()

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, pieces, total_bytes
+from ._common import buffers, pieces, total_bytes, trim, trimmed
 from .pretokens import cuts, dictionary
 
 BLOCK_BYTES = 4 << 20
@@ -121,7 +121,7 @@ def _pack_rows(batches: Iterator) -> Iterator:
     """Rows (block, id, text) to one row per block and batch: the ids, and the texts compressed together."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in trimmed(batches):
         offsets, raw = buffers(batch.column(2))
         block = batch.column(0).to_numpy()
         order = np.argsort(block, kind="stable")
@@ -164,6 +164,8 @@ def _send(owners: int):
     def run(key, table):
         import pyarrow as pa
 
+        trim()
+
         _, offsets, raw = _unpack_rows(table)
         starts, _ = cuts(offsets, raw)
         _, words = dictionary(starts, raw)
@@ -182,6 +184,8 @@ def _encode(encoder):
     def run(key, table):
         import pyarrow as pa
 
+        trim()
+
         blobs = [_unpack(x, 2) for x in table.column("words").to_pylist()]
         lens = [x for x, _ in blobs]
         raw = np.concatenate([x for _, x in blobs])
@@ -206,6 +210,8 @@ def _join(encoder, owners: int, finish: Callable):
     def run(key, left, right):
         import pyarrow as pa
 
+        trim()
+
         keys, offsets, raw = _unpack_rows(left)
         starts, odd = cuts(offsets, raw)
         codes, words = dictionary(starts, raw)
@@ -248,13 +254,23 @@ def _listed(block, keys, offsets, texts, ends, ids):
     return pa.table({"id": keys, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))})
 
 
-def encode(docs: DataFrame, encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row."""
+def encode(docs: DataFrame, encoder, id_col: str = "doc_id", text_col: str = "text", then: Callable | None = None, schema: str = "ids array<int>") -> DataFrame:
+    """(id, ids array<int>) of every row. `then` maps batches of these to others of `schema` in the same worker."""
     text = F.col(text_col).cast("string")
     blocks = max(2, -(-total_bytes(docs, text_col) // BLOCK_BYTES))
     docs = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    return by_block(docs, blocks, encoder, _listed, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return by_block(docs, blocks, encoder, _finisher(then), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+
+
+def _finisher(then: Callable | None) -> Callable:
+    def finish(*block):
+        import pyarrow as pa
+
+        table = _listed(*block)
+        return pa.Table.from_batches(list(then(table.combine_chunks().to_batches()))) if then and table.num_rows else table
+
+    return finish
 
 
 @functools.cache
@@ -283,7 +299,7 @@ def decoder(path: str, ids_col: str, out_col: str) -> Callable:
         import pyarrow as pa
 
         table = token_bytes(path)
-        for whole in batches:
+        for whole in trimmed(batches):
             at = whole.schema.get_field_index(ids_col)
             for batch, lens in _slices(whole, at):
                 ends, raw = buffers(table.take(batch.column(at).flatten()))
@@ -306,7 +322,7 @@ def _digest(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     decimal = pa.array([], pa.large_binary())
-    for whole in batches:
+    for whole in trimmed(batches):
         for batch, lens in _slices(whole, 1):
             flat = batch.column(1).flatten().to_numpy()
             top = int(flat.max()) + 1 if len(flat) else 0
@@ -319,12 +335,21 @@ def _digest(batches: Iterator) -> Iterator:
             ends, raw = buffers(batch.column(2))
             view = memoryview(np.ascontiguousarray(raw))
             text = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens), pa.array(hexed), pa.array(text)], names=["i", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lens), pa.array(hexed), pa.array(text)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digester(path: str) -> Callable:
+    """Batches (id, ids) to the id, n_tokens and SHA-256 of the ids' decimals and of the bytes that they decode to.
+
+    Decoding and hashing take turns slice by slice."""
+    decoded = decoder(path, "ids", "text")
+    return lambda batches: _digest(decoded(batches))
 
 
 def digests(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """n_tokens, and SHA-256 of the ids' decimals and of the bytes that they decode to."""
+    """The digests of rows of ids."""
     kind = tokens.schema[id_col].dataType.simpleString()
-    decoded = decoder(path, "ids", "text")
-    # decoding and hashing take turns in one worker, slice by slice
-    return tokens.select(F.col(id_col), F.col(ids_col).alias("ids")).mapInArrow(lambda batches: _digest(decoded(batches)), f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(digester(path), f"id {kind}, {DIGESTS}").withColumnRenamed("id", id_col)

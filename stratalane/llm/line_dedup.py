@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import M64, arrow_udf, buffers, stash
+from ._common import M64, arrow_udf, buffers, stash, trim, trimmed
 
 WINDOW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BROADCAST_ROWS = 200_000
@@ -51,7 +51,7 @@ def _chunk_rows(divisor: int, with_text: bool):
         import pyarrow as pa
         from xxhash import xxh3_128_digest as digest
 
-        for batch in batches:
+        for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(2))
             raw = raw.tobytes()
             row, no, keys, texts = [], [], [], []
@@ -115,6 +115,7 @@ def _cut(divisor: int):
             texts.append(t)
             n_lines.append(len(lines))
             n_removed.append(removed)
+        trim()
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=["text", "n_lines", "n_removed"])
 
     return cut

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import trimmed, tune
+
 KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 16
 TRAIN_DOCS = 600
@@ -322,7 +324,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in trimmed(batches):
             hs, ts = [], []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = [t[max(0, r[0][0] - 20) : r[-1][1] + 20] for r in regions(t)[:50]]
@@ -337,6 +339,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): arrays of (kind, start, end); spans are the base ones and those added."""
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,end:long>>"
@@ -347,7 +350,7 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = sent.value
         to = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         rows = lambda x: [{"kind": k, "start": a, "end": b} for k, a, b in x]
-        for batch in batches:
+        for batch in trimmed(batches):
             found, whole = [], []
             for t in batch.column(1).to_pylist():
                 known = base(t) if t else []

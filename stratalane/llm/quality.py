@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_udf, buffers
+from ._common import arrow_udf, trim, trimmed, tune
 
 BITS = 18
 LABELLED, UNLABELLED = 10000, 2000
@@ -85,7 +85,7 @@ def _look(text: str):
 def _sampled(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in trimmed(batches):
         got = [_look(t or "") for t in batch.column(0).to_pylist()]
         f = [features(t or "", m, w) for t, (m, w) in zip(batch.column(0).to_pylist(), got)]
         yield pa.RecordBatch.from_arrays([pa.array([votes(m, w) for m, w in got], pa.list_(pa.int32())), pa.array(f, pa.list_(pa.int32())), batch.column(1)], names=["votes", "features", "y"])
@@ -148,6 +148,7 @@ def screen(flat: np.ndarray, row: np.ndarray, post: np.ndarray, least: float = 4
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> np.ndarray:
     """Weights of the scorer. labels(id, quality, toxic); a row is to be rejected for quality 0 or toxic 1."""
+    tune(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
     pick = lambda df, n: df.orderBy(F.xxhash64("i"), "i").limit(n)  # noqa: E731  a bounded number of rows
     parts = [texts.join(F.broadcast(pick(texts.select("i"), unlabelled).distinct()), "i", "left_semi").select("t", F.lit(0).alias("y"))]
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """(row, score): each row as a struct with its probability of rejection."""
+    tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @arrow_udf("double")
@@ -194,7 +196,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
             m, words = _look(t or "")
             x = float(w[features(t or "", m, words)].sum(dtype=np.float64) + w[-1])
             out.append(round(1 / (1 + np.exp(-max(-30.0, min(30.0, x)))), 6))
-        return pa.array(out, pa.float64())
+        got = pa.array(out, pa.float64())
+        trim()
+        return got
 
     return docs.select(F.struct("*").alias("row"), scored(F.col(text_col).cast("string")).alias("score"))
 

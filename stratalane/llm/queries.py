@@ -30,8 +30,7 @@ def op4_byte_level_bpe(spark, sf_dir):
     import public_tokenizers as P
 
     ranks = P.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.encode(documents(spark, sf_dir), bpe.RankEncoder(ranks, P.PATTERN))
-    return bpe.digests(tokens, ranks)
+    return bpe.encode(documents(spark, sf_dir), bpe.RankEncoder(ranks, P.PATTERN), then=bpe.digester(ranks), schema=bpe.DIGESTS)
 
 
 def op5_token_files(spark, sf_dir):

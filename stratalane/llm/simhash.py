@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import buffers, stash
+from ._common import buffers, stash, trimmed, tune
 from ._graph import components, forest
 
 TILE = 4096
@@ -59,7 +59,7 @@ def _prints(shingle: int, words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(batch.num_columns - 1))
             raw = raw.tobytes()
             rows, sizes = [], []
@@ -85,6 +85,7 @@ def _prints(shingle: int, words: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "fp long" if words == 1 else "size long, fp array<long>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_prints(shingle, words), f"id {kind}, {tail}")
@@ -169,7 +170,7 @@ def _narrow(radius: int):
                     second = np.ascontiguousarray(part[part[:, 4] == part[0, 3], 5])
                     compare(first.view(np.uint64)[:, None], first, second.view(np.uint64)[:, None], second, radius, links)
 
-        for batch in batches:
+        for batch in trimmed(batches):
             t = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], 1)
             if not len(t):
                 continue

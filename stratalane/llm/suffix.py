@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_udf, buffers, pieces, stash
+from ._common import arrow_udf, buffers, pieces, stash, trim, trimmed
 
 LENGTH, GRAM = 200, 32
 SLICE = 2 << 20
@@ -98,7 +98,7 @@ def _run_rows(length: int, gram: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(2))
             for a, b in pieces(offsets, SLICE):
                 doc, order, _, _, h, several, _ = runs(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]], length, gram)
@@ -114,7 +114,7 @@ def _segment_rows(length: int, gram: int, shards: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(2))
             kept = batch.column(3)
             klens = np.append(0, np.cumsum(kept.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
@@ -380,6 +380,7 @@ def _kept():
             parts.append(t[end:])
             out.append(b"".join(parts))
             counts.append((len(t), removed, runs))
+        trim()
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
     return kept

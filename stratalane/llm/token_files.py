@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import new_dir, stash, total_bytes
+from ._common import new_dir, stash, total_bytes, trimmed
 
 SEQUENCE = 1024
 BATCH = 256
@@ -149,7 +149,7 @@ def _read(manifest: DataFrame, id_col: str, schema: str, of) -> DataFrame:
         import pyarrow as pa
 
         name, opened = None, None
-        for batch in batches:
+        for batch in trimmed(batches):
             got = []
             for file, first, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 if file != name:

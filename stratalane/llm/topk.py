@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stash
+from ._common import stash, trimmed
 
 QUERY_BLOCK = 2048
 ROWS = 1024
@@ -56,7 +56,7 @@ def _clip(x: np.ndarray) -> np.ndarray:
 
 
 def _tiles(batches: Iterator, dims: int):
-    for batch in batches:
+    for batch in trimmed(batches):
         lens = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
         if (lens != dims).any():
             import pyarrow as pa
