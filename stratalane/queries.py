@@ -151,10 +151,6 @@ SQL_MULT = _mult()
 
 
 def _bucket(x: str) -> str:
-    return f"((({u(x)} * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT) // 1125899906842624::HUGEINT)::BIGINT"
-
-
-def _bucket_exact(x: str) -> str:
     """The product is taken in halves, as it may pass 127 bits."""
     hi, lo = f"({u(x)} // 4294967296::HUGEINT)", f"({u(x)} % 4294967296::HUGEINT)"
     k = "11400714819323198485::HUGEINT"
@@ -164,7 +160,7 @@ def _bucket_exact(x: str) -> str:
 SQL_FEATURES = f"""features AS (SELECT {K}, n, exp_range, buckets < 2048 AS distinct_low, 2 * equal > n AS repeats,
   coalesce(kind <> 'double' AND NOT buckets < 2048 AND NOT 2 * equal > n AND n >= 256 AND {bw('vspan')} >= 8 * {LANE_BYTES} - 4 AND {bw('dhi')} >= 8 * {LANE_BYTES} - 4, false) AS noise
   FROM (SELECT {K}, first(n) AS n, (max((({u('lane')} // 4503599627370496::HUGEINT) % 2048)) - min((({u('lane')} // 4503599627370496::HUGEINT) % 2048)))::INTEGER AS exp_range,
-    count(DISTINCT CASE WHEN i % greatest(n // 4096, 1) = 0 THEN {_bucket_exact('lane')} END) AS buckets,
+    count(DISTINCT CASE WHEN i % greatest(n // 4096, 1) = 0 THEN {_bucket('lane')} END) AS buckets,
     sum(CASE WHEN coalesce(prev, lane) = lane THEN 1 ELSE 0 END) AS equal,
     max(CASE WHEN i % greatest(n // 2048, 1) = 0 THEN {u('lane')} END) - min(CASE WHEN i % greatest(n // 2048, 1) = 0 THEN {u('lane')} END) AS vspan,
     max(CASE WHEN i % greatest(n // 2048, 1) = 0 AND i > 0 THEN z END) AS dhi
@@ -466,9 +462,6 @@ def alp_rd_dict(spark, sf):
 # --- bytes
 
 
-_BYTES = "SELECT col, kind, block, i, p, (({}) // (256::HUGEINT ** p)::HUGEINT % 256)::BIGINT AS b FROM rows, range(0, 8) t(p)"
-
-
 @query(sql([sql_rows(("orders",), floats=True)], f"SELECT col, block, k AS plane, count(DISTINCT b) AS distinct_bytes, sum(b)::BIGINT AS total FROM (SELECT col, block, k, (({u('lane')} >> (8 * k)::INTEGER) % 256)::BIGINT AS b FROM rows, range(0, 8) t(k)) GROUP BY col, block, k"))
 def byte_planes(spark, sf):
     x = rows_of(spark, sf, ("orders",), floats=True)
