@@ -59,9 +59,10 @@ def minimizers(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
 
 def runs(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of window starts of one minimizer: (doc, order in its document, first, last, hash, several), positions in raw.
-    several: the minimizer occurs again within the run. Also the minimizer's position of every start, by run."""
+    several: the minimizer's position changes within the run. And the stretches of each run of one HOT_STEP of the
+    minimizer's offset in its window: (run, first, last, step, several)."""
     raw = np.ascontiguousarray(raw)
-    out = []
+    out, cut, n = [], [], 0
     for a, b in pieces(offsets, SLICE):
         lo, hi = int(offsets[a]), int(offsets[b])
         step = (1 << 24) - length - 1
@@ -83,15 +84,20 @@ def runs(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int =
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(idx)) - 1
             moved = np.cumsum(np.concatenate([[0], at[idx[1:]] != at[idx[:-1]]]))
-            out.append((idx[begin] + s, idx[end] + s, h[idx[begin]], moved[end] != moved[begin], at[idx[begin]] + s))
+            out.append((idx[begin] + s, idx[end] + s, h[idx[begin]], moved[end] != moved[begin]))
+            q = (at[idx] - idx) // HOT_STEP
+            begin = np.flatnonzero(new | np.concatenate([[True], q[1:] != q[:-1]]))
+            end = np.append(begin[1:], len(idx)) - 1
+            cut.append((n + np.cumsum(new)[begin] - 1, idx[begin] + s, idx[end] + s, q[begin], moved[end] != moved[begin]))
+            n += int(new.sum())
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64), z.astype(bool), z
-    first, last, h, several, at = (np.concatenate(x) for x in zip(*out))
+        return z, z, z, z, z.astype(np.uint64), z.astype(bool), (z, z, z, z, z.astype(bool))
+    first, last, h, several = (np.concatenate(x) for x in zip(*out))
     doc = np.searchsorted(offsets, first, "right") - 1
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     order = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    return doc, order, first, last, h, several, at
+    return doc, order, first, last, h, several, tuple(np.concatenate(x) for x in zip(*cut))
 
 
 def _run_rows(length: int, gram: int):
@@ -122,29 +128,25 @@ def _segment_rows(length: int, gram: int, shards: int):
             for a, b in pieces(offsets, SLICE):
                 lo = offsets[a]
                 part = np.ascontiguousarray(raw[lo : offsets[b]])
-                doc, order, first, last, h, several, at = runs(offsets[a : b + 1] - lo, part, length, gram)
+                doc, order, first, last, h, several, steps = runs(offsets[a : b + 1] - lo, part, length, gram)
                 want = kflat[klens[a] : klens[b]]
                 wdoc = np.repeat(np.arange(b - a), np.diff(klens[a : b + 1]))
                 base = np.searchsorted(doc, wdoc, "left")
                 pick = base + (want >> 1)
                 hot = (want & 1).astype(bool)
-                d, f, l, v, s, p = doc[pick], first[pick], last[pick], h[pick], several[pick], at[pick]
+                d, f, l, v, s = doc[pick], first[pick], last[pick], h[pick], several[pick]
                 off = np.zeros(len(pick), np.int64)
-                # a hot run is cut where the minimizer's offset passes a step; runs with several minimizers stay whole
-                cut = np.flatnonzero(hot & ~s)
-                if len(cut):
-                    pieces_of = [(k, q) for k in cut.tolist() for q in range((p[k] - l[k]) // HOT_STEP, (p[k] - f[k]) // HOT_STEP + 1)]
-                    k = np.array([x for x, _ in pieces_of])
-                    q = np.array([x for _, x in pieces_of])
-                    f2 = np.maximum(f[k], p[k] - (q + 1) * HOT_STEP + 1)
-                    l2 = np.minimum(l[k], p[k] - q * HOT_STEP)
-                    rest = np.ones(len(pick), bool)
-                    rest[cut] = False
-                    d, v, s, off = (np.concatenate([x[rest], y]) for x, y in ((d, d[k]), (v, v[k]), (s, s[k]), (off, q + 1)))
-                    f, l = np.concatenate([f[rest], f2]), np.concatenate([l[rest], l2])
-                data = part.tobytes()
-                segs = pa.array([data[x : y + length] for x, y in zip(f.tolist(), l.tolist())], pa.binary()).dictionary_encode()
-                codes = segs.indices.to_numpy(zero_copy_only=False)
+                # every hot run is cut where the minimizer's offset passes a step, so that a window's key depends on its bytes alone
+                if hot.any():
+                    of, f2, l2, q, s2 = steps
+                    chosen = np.zeros(len(doc), bool)
+                    chosen[pick[hot]] = True
+                    k = chosen[of]
+                    of, rest = of[k], ~hot
+                    d, f, l, v, s, off = (np.concatenate([x[rest], y]) for x, y in ((d, doc[of]), (f, f2[k]), (l, l2[k]), (v, h[of]), (s, s2[k]), (off, q[k] + 1)))
+                data, known = part.tobytes(), {}
+                codes = np.fromiter((known.setdefault(data[x : y + length], len(known)) for x, y in zip(f.tolist(), l.tolist())), np.int64, len(f))
+                segs = pa.array(list(known), pa.binary())
                 sort = np.argsort(codes, kind="stable")
                 heads = np.flatnonzero(np.concatenate([[True], np.diff(codes[sort]) != 0])) if len(sort) else np.zeros(0, np.int64)
                 rows = pa.array(d[sort] + a)
@@ -152,7 +154,7 @@ def _segment_rows(length: int, gram: int, shards: int):
                 occ = pa.ListArray.from_arrays(pa.array(np.append(heads, len(sort)).astype(np.int32)), pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int64))], names=["id", "h", "s"]))
                 one = sort[heads]
                 shard = ((v[one] ^ (off[one].astype(np.uint64) * _MIX[0])) * _MIX[1] >> np.uint64(33)) % np.uint64(shards)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array((v[one] ^ off[one].astype(np.uint64) * _MIX[0]).view(np.int64)), pa.array(s[one]), segs.dictionary.take(segs.indices.take(pa.array(one))), occ], names=["shard", "v", "several", "seg", "occ"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array((v[one] ^ off[one].astype(np.uint64) * _MIX[0]).view(np.int64)), pa.array(s[one]), segs.take(pa.array(codes[one])), occ], names=["shard", "v", "several", "seg", "occ"])
 
     return run
 

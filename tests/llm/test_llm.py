@@ -418,6 +418,23 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_hot_minimizer_twice(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_RUNS", 2)
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    # the gram with the smallest hash of many is the minimizer of all windows around it
+    grams = [text(32) for _ in range(20000)]
+    h, _ = suffix.minimizers(np.frombuffer("".join(grams).encode(), np.uint8), 32, 32)
+    gram = grams[int(np.argmin(h[::32]))]
+    passage = text(134) + gram + text(134)
+    texts = [text(50) + passage + gram + text(150), text(50) + passage + text(200), "ab" * 400, "ab" * 300 + text(300)]
+    texts += [text(100) + gram + text(200) for _ in range(4)] + [gram * 20, text(90) + gram * 15 + text(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw, cov = covered(texts, 200)
+    want = [(k, sum(c)) for k, c in enumerate(cov)]
+    assert rows(suffix.dedup(df), "doc_id", "n_removed") == want and want[0][1] >= 300
+
+
 def test_shards_in_parts():
     rng = random.Random(9)
     base = bytes(rng.randrange(97, 101) for _ in range(700))
