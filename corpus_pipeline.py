@@ -23,8 +23,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.near_dedup(docs, shingle=5, similarity=0.8)
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; texts without words are one group."""
+    return simhash.near_dedup(docs, shingle=5, similarity=0.8, wordless=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

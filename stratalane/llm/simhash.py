@@ -256,22 +256,23 @@ def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "d
     return prints.join(names, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slack: float = 1.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slack: float = 1.12, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
     """Documents with one row of each group of near copies: the one with the smallest (id, text hash).
 
     Similarity is estimated from a wide SimHash of the set of shingles: sets of Jaccard similarity s have
     a cosine of 2s / (1 + s), and 64 * words bits differ in acos(cosine) / pi of them on average. `slack`
-    widens that radius for the estimate's spread. Rows without words are left alone.
+    widens that radius for the estimate's spread. Rows without words are left alone,
+    or with `wordless` are one group, nulls too.
     """
     import math
 
     radius = int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi * slack)
     prints = fingerprints(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias("key"), text_col), shingle, words, "key", text_col)
-    prints = stash(prints.where("size > 0"), "prints")
+    prints = stash(prints if wordless else prints.where("size > 0"), "prints")
     node = F.xxhash64(*(F.col("fp")[k] for k in range(words)), F.col("size"))
     prints = prints.select("id", "size", "fp", node.alias("node"))
     nodes = stash(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min(F.struct(F.col("id.i").isNull(), "id.i", "id.h")).alias("least")), "nodes")
-    comp = stash(components(wide_links(nodes.select("node", "size", "fp"), radius, similarity)), "components")
+    comp = stash(components(wide_links(nodes.where("size > 0").select("node", "size", "fp"), radius, similarity)), "components")
     rooted = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     names = stash(rooted.join(best, "root").select("node", "best"), "names")

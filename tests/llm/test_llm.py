@@ -478,3 +478,18 @@ def test_pipeline(spark, tmp_path):
         df.write.parquet(out)
         docs = spark.read.parquet(out)
     assert rows(docs, "doc_id", "ids_sha256") == rows(corpus_pipeline.run(spark, sf), "doc_id", "ids_sha256") and docs.count() > 100
+
+
+def test_copies_through_both_dedups(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    texts = []
+    while len(texts) < 3:  # texts that line dedup empties: every chunk has several lines
+        lines = [words(rng, 12).replace("\n", "") for _ in range(6)]
+        if all(b - a > 1 for a, b in line_dedup.chunks([x.encode() for x in lines], 3)):
+            texts.append("\n".join(lines))
+    df = spark.createDataFrame([(k, texts[k % 3]) for k in range(30)] + [(40, None), (41, ""), (42, " \n"), (43, words(rng, 30))], "doc_id long, text string")
+    got = corpus_pipeline.dedup_near(spark, corpus_pipeline.dedup_lines(spark, df, ""), "").collect()
+    assert sorted(r.doc_id for r in got if (r.text or "").strip()) == [0, 1, 2, 43]
+    assert [r.doc_id for r in got if not (r.text or "").strip()] == [3]
