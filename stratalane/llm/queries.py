@@ -41,7 +41,7 @@ def op5_token_files(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.report(documents(spark, sf_dir))
+    return line_dedup.report(documents(spark, sf_dir), passages=True)
 
 
 def op7_benchmark_decontamination(spark, sf_dir):

@@ -251,6 +251,36 @@ def test_line_dedup(docs, empty):
     assert line_dedup.clean(docs).columns == docs.columns and line_dedup.clean(empty).count() == 0
 
 
+def repeated_lines(texts):
+    """Of each text, in order: lines of two in a row, or long ones, that an earlier place has."""
+    seen, out = set(), []
+    for t in texts:
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for a, b in [*zip(full, full[1:]), *((k, k) for k in full if len(lines[k].split()) > 50)]:
+            key = tuple(lines[a : b + 1])
+            if key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        out.append("\n".join(kept) if any(x.strip() for x in kept) or not gone else "")
+    return out
+
+
+def test_line_dedup_passages(spark):
+    rng = random.Random(12)
+    line = lambda n=8: words(rng, n, 5000).replace("\n", "")
+    passages = [[line() for _ in range(n)] for n in range(2, 10)] + [[line(60)], [line(), "", line()]]
+    texts = ["\n".join([line(), *p, line(), line()]) for p in passages]
+    texts += ["\n".join([line(), line(), *p, line()]) for p in passages]
+    texts += [texts[0], texts[8], texts[0] + "\n", "", "\n\n", "a a\na a\na a\na a", line() + "\n" + passages[3][0] + "\n" + line()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.text for r in line_dedup.clean(df, passages=True).orderBy("doc_id").collect()]
+    assert got == repeated_lines(texts)
+    assert all(len(t.split("\n")) == 3 for t in got[len(passages) : 2 * len(passages)]) and got[-7:-4] == ["", "", ""]
+
+
 # --- op 7
 
 
