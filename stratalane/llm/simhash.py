@@ -5,11 +5,15 @@ it is set in over half of the shingle hashes. Fingerprints at most `radius` bits
 Equal fingerprints are one node. Nodes are cut into tiles; numpy compares tile with tile, sorted by
 population count, and skips blocks whose counts differ by more than the radius.
 
-Two layouts of the tiles, both exact:
+Two layouts of the tiles, the first one exact:
 * narrow (one 64-bit word, small radius): radius + 1 bands; nodes within the radius agree in a band,
   so tiles are cut inside the buckets of a band and large buckets into several tiles.
 * wide (several words, large radius): tiles are ranges of the number of shingles; pairs of tiles whose
-  sizes cannot be similar are never formed.
+  sizes cannot be similar are never formed. A filter comes first: of a pair within the radius a quarter of the
+  words may differ in no more bits than expected and 4.5 standard deviations (of draws with replacement); pairs
+  whose differing bits are spread so unevenly are lost, by a normal estimate under 4 in a million at the radius.
+
+near_dedup takes wide links as candidates only: sets of shingles are compared exactly before rows are linked.
 
 Cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than
 a shingle make one shingle; repeated rows are rows of their own with equal fingerprints; a null id never
@@ -29,6 +33,8 @@ from ._graph import components, forest
 
 TILE = 4096
 WIDE_TILE = 32768
+#: Sets of up to FEW shingles find their candidates by a prefix filter instead of fingerprints; nodes and bytes of a tile of sets.
+FEW, SET_TILE, SET_BYTES = 64, 1024, 8 << 20
 #: Odd multipliers that turn a shingle's hash into one more word of a wide fingerprint.
 WORDS = [1, *(int(x) * 2 + 1 for x in np.random.default_rng(42).integers(1, 2**63, 15))]
 
@@ -55,18 +61,20 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def _prints(shingle: int, words: int):
+def _prints(shingle: int, words: int, few_most: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
         for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(batch.num_columns - 1))
             raw = raw.tobytes()
-            rows, sizes = [], []
+            rows, sizes, sets = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 h = hashes(raw[a:b], shingle)
                 if words > 1:
                     h = np.unique(h)
+                    sets.append(h.tobytes())
                 sizes.append(len(h))
                 row = [majority(h)] if len(h) else [0]
                 for k in WORDS[1:words]:
@@ -78,17 +86,20 @@ def _prints(shingle: int, words: int):
                 out.append(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "fp"])
             else:
-                out += [pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "size", "fp"])
+                nodes = np.array([xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+                few = [np.frombuffer(x, np.int64) if len(x) <= 8 * few_most else None for x in sets]
+                out += [pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(nodes), pa.array(few, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "size", "fp", "node", "few"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", few_most: int = 0) -> DataFrame:
+    """(id, fp), or of several words (id, size, fp, node, few): node names the set of shingles, few is a small set itself."""
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    tail = "fp long" if words == 1 else "size long, fp array<long>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_prints(shingle, words), f"id {kind}, {tail}")
+    tail = "fp long" if words == 1 else "size long, fp array<long>, node long, few array<long>"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_prints(shingle, words, few_most), f"id {kind}, {tail}")
 
 
 class _Links:
@@ -117,9 +128,10 @@ def compare(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray, ids_b: np.ndarray,
     pa, pb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
     oa, ob = np.argsort(pa, kind="stable"), np.argsort(pb, kind="stable")
     a, ids_a, pa, b, ids_b, pb = a[oa], ids_a[oa], pa[oa], b[ob], ids_b[ob], pb[ob]
-    # of a wide fingerprint the first word is compared first: a pair within the radius has few differing bits in it
+    # of a wide fingerprint a quarter is compared first: a pair within the radius has few differing bits in it
     words = a.shape[1]
-    first = radius if words == 1 else min(radius, int(radius / words + 4.5 * (radius / words) ** 0.5) + 1)
+    part = max(1, words // 4)
+    first = min(radius, int(radius * part / words + 4.5 * (radius * part / words) ** 0.5) + 1)
     order = sorted
     for i in range(0, len(a), block):
         x, px = a[i : i + block], pa[i : i + block]
@@ -130,7 +142,10 @@ def compare(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray, ids_b: np.ndarray,
             if words == 1:
                 p, q = np.nonzero(np.bitwise_count(x[:, 0, None] ^ y[None, :, 0]) <= radius)
             else:
-                p, q = np.nonzero(np.bitwise_count(x[:, 0, None] ^ y[None, :, 0]) <= first)
+                d = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0])
+                for k in range(1, part):
+                    d += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+                p, q = np.nonzero(d <= first)
                 d = np.bitwise_count(x[p] ^ y[q]).sum(1, dtype=np.int64)
                 p, q = p[d <= radius], q[d <= radius]
             u, v = ids_a[i + p], ids_b[j + q]
@@ -256,23 +271,126 @@ def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "d
     return prints.join(names, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, slack: float = 1.12, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
+def few_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes(node, few): (u, v) that bring any two sets of that similarity into one component.
+
+    Sets of s elements that are similar share one of the first s - ceil(similarity * s) + 1 in one order of all
+    elements, here from rare to common; whoever has an element there is linked to the smallest node that has it.
+    """
+    one = nodes.select("node", F.explode("few").alias("x"))
+    common = stash(one.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    known = one.join(common, "x", "left").select("node", "x", F.coalesce("n", F.lit(1)).alias("n"))
+    s = F.size("all")
+    most = s - F.ceil(s * F.lit(similarity) - 1e-9).cast("int") + 1
+    head = known.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("all")).select("node", F.explode(F.slice("all", F.lit(1), most)).alias("e"))
+    head = stash(head.where("e.n > 1").select("node", F.col("e.x").alias("x")), "heads")
+    least = stash(head.groupBy("x").agg(F.min("node").alias("m")), "least")
+    return head.join(least, "x").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def similar(first: list[int], second: list[int], flat: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of sets, flat[starts[k] : starts[k + 1]] distinct, of first with second: of all pairs of exactly that similarity
+    or more, those that components need. first and second may be the same."""
+    codes = np.unique(flat, return_inverse=True)[1]
+    sizes = np.diff(starts)
+    second = np.array(second, np.int64)
+    label = np.arange(len(sizes))
+    mark = np.zeros(len(flat), bool)
+    out = []
+    for i in first:
+        n = sizes[i]
+        m = sizes[second]
+        todo = second[(label[second] != label[i]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)]
+        if not len(todo):
+            continue
+        mine = codes[starts[i] : starts[i + 1]]
+        mark[mine] = True
+        for j in todo.tolist():
+            if label[j] != label[i]:
+                both = int(np.count_nonzero(mark[codes[starts[j] : starts[j + 1]]]))
+                if both / (n + sizes[j] - both) >= similarity:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        mark[mine] = False
+    return out
+
+
+def _exact(similarity: float):
+    def run(key, table):
+        import pyarrow as pa
+
+        root, tile, node = (table.column(k).to_numpy() for k in ("root", "tile", "node"))
+        offsets, raw = buffers(table.column("set"))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        sort = np.argsort(root, kind="stable")
+        u, v = [], []
+        for rows in np.split(sort, np.flatnonzero(np.diff(root[sort])) + 1) if len(sort) else []:
+            starts = np.append(0, np.cumsum((offsets[rows + 1] - offsets[rows]) // 8))
+            flat = np.frombuffer(b"".join(raw[offsets[k] : offsets[k + 1]].tobytes() for k in rows.tolist()), np.uint64)
+            a, b = (np.flatnonzero(tile[rows] == x).tolist() for x in (lo, hi))
+            for i, j in similar(a, b, flat, starts, similarity):
+                u.append(node[rows[i]])
+                v.append(node[rows[j]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in trimmed(batches):
+            offsets, raw = buffers(batch.column(3))
+            raw = raw.tobytes()
+            sets = [np.unique(hashes(raw[a:b], shingle)).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["root", "node", "size", "set"])
+
+    return run
+
+
+def exact_links(found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """found(root, node, size, t): a forest of the links of exactly that similarity inside each root's candidates."""
+    sets = stash(found.mapInArrow(_sets(shingle), "root long, node long, size long, set binary"), "sets")
+    of = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    tiles = F.ceil(F.greatest(F.col("n") / SET_TILE, F.col("total") * 8 / SET_BYTES)).cast("int")
+    of = stash(of.select(F.col("root").alias("r"), tiles.alias("tiles")), "roots")
+    total = sets.select(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    dealt = sets.join(of, F.col("root") == F.col("r"))
+    buckets = max(8, -(-total * 8 // SET_BYTES))
+    dealt = dealt.select("root", "node", "set", "tiles", F.expr("cast(pmod(xxhash64(node), tiles) as int)").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root"))
+    dealt = dealt.select(group.alias("group"), F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "root", "tile", "node", "set")
+    return dealt.groupBy("group", "ta", "tb").applyInArrow(_exact(similarity), "u long, v long")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, spread: float = 4.5, id_col: str = "doc_id", text_col: str = "text", wordless: bool = False) -> DataFrame:
     """Documents with one row of each group of near copies: the one with the smallest (id, text hash).
 
-    Similarity is estimated from a wide SimHash of the set of shingles: sets of Jaccard similarity s have
-    a cosine of 2s / (1 + s), and 64 * words bits differ in acos(cosine) / pi of them on average. `slack`
-    widens that radius for the estimate's spread. Rows without words are left alone,
+    Documents are linked if the Jaccard similarity of their sets of shingles is `similarity` or more, and a group
+    is a component. Candidates come from a wide SimHash: sets of similarity s have a cosine of 2s / (1 + s), and
+    64 * words bits differ in acos(cosine) / pi of them on average; the radius is `spread` standard deviations
+    more. Small sets find theirs by a prefix filter. The sets of candidates are compared exactly. Rows without words are left alone,
     or with `wordless` are one group, nulls too.
     """
     import math
 
-    radius = int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi * slack)
-    prints = fingerprints(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias("key"), text_col), shingle, words, "key", text_col)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(64 * words * share + spread * math.sqrt(64 * words * share * (1 - share)))
+    few_most = int(FEW / similarity)
+    hashed = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias("key"), text_col)
+    prints = fingerprints(hashed, shingle, words, "key", text_col, few_most)
     prints = stash(prints if wordless else prints.where("size > 0"), "prints")
-    node = F.xxhash64(*(F.col("fp")[k] for k in range(words)), F.col("size"))
-    prints = prints.select("id", "size", "fp", node.alias("node"))
-    nodes = stash(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min(F.struct(F.col("id.i").isNull(), "id.i", "id.h")).alias("least")), "nodes")
-    comp = stash(components(wide_links(nodes.where("size > 0").select("node", "size", "fp"), radius, similarity)), "components")
+    order = F.struct(F.col("id.i").isNull(), "id.i", "id.h")
+    nodes = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("few").alias("few"), F.min(order).alias("least"))
+    nodes = stash(nodes, "nodes")
+    wide = wide_links(nodes.where(F.col("size") >= FEW).select("node", "size", "fp"), radius, similarity)
+    maybe = wide.union(few_links(nodes.where(F.col("size").between(1, few_most)).select("node", "few"), similarity))
+    maybe = stash(components(maybe), "candidates")
+    asked = stash(nodes.join(maybe, "node").select("root", "node", "size", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "asked")
+    texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
+    found = texts.join(asked, texts["i"].eqNullSafe(asked["_i"]) & (texts["h"] == asked["_h"])).select("root", "node", "size", "t")
+    comp = stash(components(exact_links(found, shingle, similarity)), "components")
     rooted = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     names = stash(rooted.join(best, "root").select("node", "best"), "names")

@@ -220,6 +220,23 @@ def test_token_files(spark, docs, empty):
     assert token_files.write(empty, encoder).count() == 0
 
 
+def test_near_dedup_links_by_exact_similarity(spark):
+    rng = random.Random(31)
+    fresh = iter(rng.sample(range(10**6, 10**7), 200000))
+    base = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+    texts, want = [], set()
+    for n, extra in [(8, 1), (10, 1), (16, 3), (24, 5), (68, 16), (84, 20), (404, 100), (1004, 250)] * 6:  # 0.8 or more
+        a = base(n)
+        want.add(len(texts))
+        texts += [" ".join(a), " ".join(a + base(extra))]
+    for n, extra in [(8, 2), (24, 6), (68, 18), (404, 110), (404, 130)] * 6:  # less
+        a = base(n)
+        want |= {len(texts), len(texts) + 1}
+        texts += [" ".join(a), " ".join(a + base(extra))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == want
+
+
 # --- op 6
 
 
