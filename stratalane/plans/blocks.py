@@ -1,7 +1,7 @@
 """From table columns to lanes: a long table (col, pos, lane) in an explicit order, cut into blocks.
 
 Row order has no meaning in Spark, so every plan asks for an order key. Positions are numbered without
-one global window: rows are range-partitioned on the key, counted by partition, and numbered within.
+one global window: rows are range-partitioned on the key, written, counted by partition, and numbered within.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lanes import double_bits
+from .work import written
 
 #: Types that have a lane: family, bytes and signedness.
 LANES = {
@@ -50,13 +51,17 @@ def lane_of(column: Column, kind: str) -> Column:
 
 
 def number(df: DataFrame, order: Sequence[str], pos: str = "pos") -> DataFrame:
-    """Adds positions 0, 1, ... in the order of the key. Sorted in ranges, not in one task."""
+    """Adds positions 0, 1, ... in the order of the key. Sorted in ranges, not in one task.
+
+    The range-sorted rows are written once, with their partition and place in it: counts and positions both come
+    from that table, so that neither sampled range bounds nor coalesced partitions can differ between them.
+    Rows of equal keys get neighbouring positions in an order that is fixed by the write; nulls come first."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mono"))
-    tagged = tagged.withColumn("_in", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1).cast("long")))
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    rows = written(ranged.select("*", F.spark_partition_id().alias("_part"), place.alias("_in")), "numbered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
-    return tagged.join(F.broadcast(before), "_part").withColumn(pos, F.col("_in") + F.col("_before")).drop("_part", "_mono", "_in", "_before", "_n")
+    return rows.join(F.broadcast(before), "_part").withColumn(pos, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
 def ranked(df: DataFrame, order: Sequence[str], pos: str = "pos") -> DataFrame:

@@ -80,10 +80,24 @@ def test_validity_size(spark, mixed):
     assert r.bytes == len(raw) + 2 and r.nulls == int((~valid).sum())
 
 
-def test_number_is_dense(spark):
-    df = spark.range(10000).select((F.col("id") * 7 % 10007).alias("k")).repartition(7)
-    got = blocks.number(df, ["k"]).orderBy("pos").collect()
-    assert [r.pos for r in got] == list(range(10000)) and [r.k for r in got] == sorted(r.k for r in got)
+@pytest.mark.parametrize("adaptive,partitions", [("true", 4), ("true", 8), ("true", 200), ("false", 8)])
+def test_number_is_dense(spark, adaptive, partitions):
+    n = 600_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1009).alias("k"), F.col("id"), (F.col("id") * 3).alias("three"), F.rand(5).alias("r"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = blocks.number(df, ["k"])
+        r = got.agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.count_distinct("id"), F.sum((F.col("three") != 3 * F.col("id")).cast("int"))).first()
+        assert tuple(r) == (n, n, 0, n - 1, n, 0)
+        key = got.groupBy("k").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"))
+        assert key.where("b - a + 1 <> n").count() == 0
+        ends = [(x.a, x.b) for x in key.orderBy("k").collect()]
+        assert all(p[1] + 1 == q[0] for p, q in zip(ends, ends[1:]))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
 
 
 def test_rejects_strings(spark):
