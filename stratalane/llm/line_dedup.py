@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from ._common import M64, arrow_udf, buffers, stash, trim, trimmed
 
 WINDOW_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BROADCAST_ROWS = 200_000
 #: Bits of the filter by which chunks that occur once mostly stay out of the exchange of texts.
 FILTER_BITS = 1 << 26
 #: A line of more words is a passage by itself.
@@ -110,10 +109,6 @@ def _chunk_rows(divisor: int, passages: bool, bits=None):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def repeats(docs: DataFrame, divisor: int, passages: bool, id_col: str, text_col: str) -> DataFrame:
     """(id, h, no): chunks to remove."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -125,7 +120,7 @@ def repeats(docs: DataFrame, divisor: int, passages: bool, id_col: str, text_col
     twice = stash(twice, "twice")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(twice))
     found = rows.mapInArrow(_chunk_rows(divisor, passages, bits), f"key binary, id {kind}, h long, no int, chunk binary")
-    found = stash(found.join(_small(twice), "key", "left_semi"), "chunks")
+    found = stash(found.join(twice, "key", "left_semi"), "chunks")
     # grouping by the chunk itself compares bytes; the digest only deals them out
     first = found.groupBy("key", "chunk").agg(F.min(where).alias("first"))
     first = stash(first, "first")
@@ -164,7 +159,6 @@ def dedup(docs: DataFrame, divisor: int = 3, id_col: str = "doc_id", text_col: s
     """(row, cut): each row as a struct with its text cut, and cut.n_lines, cut.n_removed."""
     gone = repeats(docs, divisor, passages, id_col, text_col)
     listed = gone.groupBy(F.col("id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_list("no").alias("_gone"))
-    listed = _small(listed) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else listed
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(text_col)).alias("h"))
     rows = rows.join(listed, F.col("row")[id_col].eqNullSafe(listed["_i"]) & (rows["h"] == listed["_h"]), "left")
     rows = rows.select("row", _cut(divisor, passages)(F.col("row")[text_col].cast("string"), F.col("_gone")).alias("cut"))
