@@ -119,8 +119,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents without the contaminated ones."""
-    bad = report(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("_i"), F.col("th").alias("_h")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, **options) -> DataFrame:
+    """Documents without the contaminated ones and without those that hold a whole window of an item, however long they are:
+    a row goes if it is flagged or `window` of its words are hit. Hits of items shorter than a window alone count by their share."""
+    found = report(docs, benchmark, id_col=id_col, text_col=text_col, window=window, **options)
+    bad = found.where(F.col("contaminated") | (F.col("n_hit") >= window)).select(F.col(id_col).alias("_i"), F.col("th").alias("_h")).distinct()
     bad = stash(bad, "contaminated")
     return docs.join(bad, F.col(id_col).eqNullSafe(bad["_i"]) & (F.xxhash64(F.col(id_col), F.col(text_col)) == bad["_h"]), "left_anti")
