@@ -80,5 +80,50 @@ class Config:
         object.__setattr__(self, "predictor_log2", max(10, min(16, self.predictor_log2)))
 
 
+#: Id of a frame that holds limbs of wide values, each encoded for itself.
+LIMBS = 60
+
+
+def bound(n: int, width: int = 8) -> int:
+    """Bytes that no stream of n values of a type of that width passes: (max(width, 8) + 1) a value and 1024."""
+    return n * (max(width, 8) + 1) + 1024
+
+
 class FrameError(ValueError):
     """A frame or stream that cannot be decoded."""
+
+
+class BadMagic(FrameError):
+    """The stream doesn't begin as one."""
+
+
+class UnsupportedVersion(FrameError):
+    """A version of the format that this library doesn't know."""
+
+
+class Truncated(FrameError):
+    """The bytes end too soon."""
+
+
+class UnknownMode(FrameError):
+    """An encoding id that isn't in the table."""
+
+
+class CorruptPayload(FrameError):
+    """A payload that isn't one of its encoding, or whose checksum differs."""
+
+
+class LengthMismatch(FrameError):
+    """Counts of values that don't add up."""
+
+
+class UnsupportedKind(FrameError):
+    """A type id that isn't in the table."""
+
+
+class KindMismatch(FrameError, TypeError):
+    """A column was asked for as another type than it has."""
+
+
+class UnsupportedType(FrameError, TypeError):
+    """A column type that has no lane."""

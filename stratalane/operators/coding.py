@@ -9,7 +9,8 @@ import numpy as np
 from ..config import SUB_BLOCK, FrameError
 
 U = np.uint64
-_LANES = 64
+#: Interleaved states of the coder: as many as the input is worth, a power of two.
+_FEWEST, _MOST, _SHARE = 16, 2048, 512
 
 
 def bit_len(x: np.ndarray) -> np.ndarray:
@@ -59,12 +60,33 @@ def unvarints(raw: bytes, count: int, at: int = 0) -> tuple[np.ndarray, int]:
     return out, at + (int(ends[-1]) if count else 0)
 
 
+def pack_rows(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 1024 values of `width` bits, lowest bit first, as rows of 16 * width words.
+
+    A word holds the low bits of all values that begin in it and the rest of the one before it."""
+    at = np.arange(SUB_BLOCK, dtype=np.int64) * width
+    word, shift = at >> 6, (at & 63).astype(U)
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.bitwise_or.reduceat(x << shift, heads, axis=1)
+    over = np.flatnonzero((at & 63) + width > 64)
+    if len(over):
+        out[:, word[over] + 1] |= x[:, over] >> (U(64) - shift[over])
+    return out
+
+
+def unpack_rows(words: np.ndarray, width: int) -> np.ndarray:
+    at = np.arange(SUB_BLOCK, dtype=np.int64) * width
+    word, shift = at >> 6, (at & 63).astype(U)
+    out = words[:, word] >> shift
+    over = np.flatnonzero((at & 63) + width > 64)
+    if len(over):
+        out[:, over] |= words[:, word[over] + 1] << (U(64) - shift[over])
+    return out & U((1 << width) - 1) if width < 64 else out
+
+
 def pack_bits(x: np.ndarray, width: int) -> bytes:
     """1024 values of `width` bits: 128 * width bytes."""
-    if not width:
-        return b""
-    bits = ((x[:, None] >> np.arange(width, dtype=U)) & U(1)).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    return pack_rows(np.asarray(x, U)[None], width).astype("<u8").tobytes() if width else b""
 
 
 def unpack_bits(raw: bytes, width: int) -> np.ndarray:
@@ -72,52 +94,80 @@ def unpack_bits(raw: bytes, width: int) -> np.ndarray:
         return np.zeros(SUB_BLOCK, U)
     if len(raw) < 128 * width:
         raise FrameError("truncated bits")
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8, 128 * width), bitorder="little").reshape(SUB_BLOCK, width)
-    out = np.zeros(SUB_BLOCK, U)
-    for k in range(width):
-        out |= bits[:, k].astype(U) << U(k)
-    return out
+    return unpack_rows(np.frombuffer(raw, "<u8", 16 * width)[None], width)[0]
+
+
+def stretches(x: np.ndarray) -> np.ndarray:
+    """Values as rows of 1024; the last row is filled up with its own first value, which widens no range."""
+    rows = -(-len(x) // SUB_BLOCK)
+    out = np.empty(rows * SUB_BLOCK, U)
+    out[: len(x)] = x
+    if rows:
+        out[len(x) :] = x[(rows - 1) * SUB_BLOCK]
+    return out.reshape(rows, SUB_BLOCK)
+
+
+def for_plan(x: np.ndarray, signed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, smallest value and bit width of every stretch."""
+    rows = stretches(np.asarray(x, U))
+    if not len(rows):
+        return rows, np.zeros(0, U), np.zeros(0, np.int64)
+    view = rows.view(np.int64) if signed else rows
+    least = view.min(1).view(U)
+    return rows, least, bit_len(view.max(1).view(U) - least)
 
 
 def for_encode(x: np.ndarray, signed: bool) -> bytes:
-    """Frame of reference by stretches of 1024: width, smallest value, packed distances from it."""
-    x = np.asarray(x, U)
-    out = [varints([len(x)])]
-    for k in range(0, len(x), SUB_BLOCK):
-        part = x[k : k + SUB_BLOCK]
-        least = part.view(np.int64).min().view(U) if signed else part.min()
-        rest = part - least
-        width = int(bit_len(rest.max()[None])[0])
-        if len(rest) < SUB_BLOCK:
-            rest = np.concatenate([rest, np.zeros(SUB_BLOCK - len(rest), U)])
-        out += [bytes([width]), int(least).to_bytes(8, "little"), pack_bits(rest, width)]
-    return b"".join(out)
+    """Frame of reference by stretches of 1024: width, smallest value, packed distances from it.
+
+    Stretches of one width are packed together."""
+    rows, least, widths = for_plan(x, signed)
+    if len(x) % SUB_BLOCK:
+        rows[-1, len(x) % SUB_BLOCK :] = least[-1]
+    rest = rows - least[:, None]
+    sizes = 9 + 128 * widths
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for w in np.unique(widths).tolist():
+        which = np.flatnonzero(widths == w)
+        block = np.empty((len(which), 9 + 128 * w), np.uint8)
+        block[:, 0] = w
+        block[:, 1:9] = least[which].astype("<u8").view(np.uint8).reshape(-1, 8)
+        if w:
+            block[:, 9:] = pack_rows(rest[which], w).astype("<u8").view(np.uint8).reshape(len(which), -1)
+        at = (ends[which] - sizes[which])[:, None] + np.arange(9 + 128 * w)
+        out[at] = block
+    return varints([len(x)]) + out.tobytes()
 
 
 def for_size(x: np.ndarray, signed: bool) -> int:
-    x = np.asarray(x, U)
-    total = int(varint_len(np.array([len(x)], U))[0])
-    for k in range(0, len(x), SUB_BLOCK):
-        part = x[k : k + SUB_BLOCK].view(np.int64) if signed else x[k : k + SUB_BLOCK]
-        span = np.array([part.max()]).view(U) - np.array([part.min()]).view(U)
-        total += 9 + 128 * int(bit_len(span)[0])
-    return total
+    widths = for_plan(x, signed)[2]
+    return int(varint_len(np.array([len(x)], U))[0]) + int((9 + 128 * widths).sum())
 
 
 def for_decode(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     (n,), at = unvarints(raw, 1, at)
-    n, out = int(n), []
+    n = int(n)
     if n > len(raw) * 1024:
         raise FrameError("impossible length")
+    starts, widths = [], []
     for _ in range(0, n, SUB_BLOCK):
         if at + 9 > len(raw):
             raise FrameError("truncated stretch")
-        width, least = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
-        if width > 64:
-            raise FrameError("impossible width")
-        out.append(unpack_bits(raw[at + 9 : at + 9 + 128 * width], width) + U(least))
+        width = raw[at]
+        if width > 64 or at + 9 + 128 * width > len(raw):
+            raise FrameError("impossible width" if width > 64 else "truncated bits")
+        starts.append(at)
+        widths.append(width)
         at += 9 + 128 * width
-    return (np.concatenate(out)[:n] if out else np.zeros(0, U)), at
+    out = np.empty((len(starts), SUB_BLOCK), U)
+    data, starts, widths = np.frombuffer(raw, np.uint8), np.array(starts, np.int64), np.array(widths, np.int64)
+    for w in np.unique(widths).tolist():
+        which = np.flatnonzero(widths == w)
+        block = data[starts[which][:, None] + np.arange(9 + 128 * w)]
+        least = np.ascontiguousarray(block[:, 1:9]).view("<u8")[:, 0].astype(U)
+        out[which] = (unpack_rows(np.ascontiguousarray(block[:, 9:]).view("<u8"), w) if w else U(0)) + least[:, None]
+    return out.ravel()[:n], at
 
 
 def zigzag(x: np.ndarray) -> np.ndarray:
@@ -150,6 +200,10 @@ def normalised(counts: np.ndarray, total: int = 4096) -> np.ndarray:
     return f
 
 
+def _states(n: int) -> int:
+    return min(_MOST, max(_FEWEST, 1 << (n // _SHARE).bit_length()))
+
+
 def rans_encode(raw: bytes) -> bytes | None:
     """Order-0 asymmetric numeral system with 12-bit frequencies, in interleaved states stepped together."""
     x = np.frombuffer(raw, np.uint8)
@@ -158,11 +212,12 @@ def rans_encode(raw: bytes) -> bytes | None:
     f = normalised(np.bincount(x, minlength=256))
     cum = np.concatenate([[0], np.cumsum(f)[:-1]])
     symbols = np.flatnonzero(f)
-    rows = -(-len(x) // _LANES)
-    grid = np.full(rows * _LANES, symbols[0], np.uint8)
+    lanes = _states(len(x))
+    rows = -(-len(x) // lanes)
+    grid = np.full(rows * lanes, symbols[0], np.uint8)
     grid[: len(x)] = x
-    grid = grid.reshape(rows, _LANES)
-    state = np.full(_LANES, 1 << 16, np.int64)
+    grid = grid.reshape(rows, lanes)
+    state = np.full(lanes, 1 << 16, np.int64)
     words = []
     for r in range(rows - 1, -1, -1):
         s = grid[r]
@@ -178,22 +233,25 @@ def rans_encode(raw: bytes) -> bytes | None:
 def rans_decode(raw: bytes) -> bytes:
     (n, k), at = unvarints(raw, 2)
     n, k = int(n), int(k)
+    if n > 1 << 24:
+        raise FrameError("impossible length")
     symbols = np.frombuffer(raw, np.uint8, k, at) if at + k <= len(raw) and k else None
     if symbols is None:
         raise FrameError("truncated table")
     freq, at = unvarints(raw, k, at + k)
-    if int(freq.sum()) != 4096 or at + 4 * _LANES > len(raw):
+    lanes = _states(n)
+    if int(freq.sum()) != 4096 or at + 4 * lanes > len(raw):
         raise FrameError("bad frequencies")
     f, cum = np.zeros(256, np.int64), np.zeros(256, np.int64)
     f[symbols] = freq.astype(np.int64)
     cum[symbols] = np.cumsum(f[symbols]) - f[symbols]
     slot = np.repeat(symbols, f[symbols])
-    state = np.frombuffer(raw, "<u4", _LANES, at).astype(np.int64)
-    words = np.frombuffer(raw[at + 4 * _LANES :][: (len(raw) - at - 4 * _LANES) // 2 * 2], "<u2").astype(np.int64)
-    rows = -(-n // _LANES)
-    if rows > 64 + 16 * len(words) * _LANES + (1 << 20):
+    state = np.frombuffer(raw, "<u4", lanes, at).astype(np.int64)
+    words = np.frombuffer(raw[at + 4 * lanes :][: (len(raw) - at - 4 * lanes) // 2 * 2], "<u2").astype(np.int64)
+    rows = -(-n // lanes)
+    if rows > 64 + 16 * len(words) * lanes + (1 << 20):
         raise FrameError("impossible length")
-    out, used = np.empty((rows, _LANES), np.uint8), 0
+    out, used = np.empty((rows, lanes), np.uint8), 0
     for r in range(rows):
         low = state & 4095
         s = slot[low]
@@ -212,13 +270,18 @@ CONTEXT, RANS, MATCHED = 0, 2, 3
 _FILTERS = [{"id": lzma.FILTER_LZMA2, "preset": 1, "lc": 3, "pb": 0}]
 
 
+#: Decode weights of the context-modelling coder and of rANS, as in the scores of encodings.
+_WEIGHT = {CONTEXT: 30, RANS: 3}
+
+
 def code(raw: bytes, penalty: int, matches: bool = False) -> bytes:
-    """Residual bytes by the best coder, with its tag: rANS where decoding speed counts, else the smaller of it
-    and a context-modelling coder; at the top level also after a match search."""
+    """Residual bytes by the best coder, with its tag: rANS where decoding speed counts, else the better of it and
+    a context-modelling coder by size and decode cost; at the top level also after a match search."""
+    cost = lambda x: len(x) + ((penalty * _WEIGHT[x[0]] * len(raw)) >> 8)
     best = bytes([RANS]) + (rans_encode(raw) or varints([0, 0]))
     if penalty < 2:
         other = bytes([CONTEXT]) + lzma.compress(raw, lzma.FORMAT_RAW, filters=_FILTERS)
-        best = min(best, other, key=len)
+        best = min(best, other, key=cost)
     if matches and len(raw) > 64:
         import zstandard
 

@@ -1,7 +1,8 @@
 """Encoding and decoding of columns as frames: a row per column and block.
 
-encode() shuffles lanes once on (col, block) and runs the kernels on each block; decode() needs no shuffle, as
-a frame is a row. Frames carry smallest and largest lane, null counts and a CRC, so that readers can skip and check.
+encode() shuffles rows once on the block, in a few groups of columns, and runs the kernels on each block's columns;
+decode() needs no shuffle, as a frame is a row; restore() gives the table with its types back, by one shuffle of frames.
+Frames carry smallest and largest lane, null counts and a CRC, so that readers can skip and check.
 """
 
 from __future__ import annotations
@@ -9,19 +10,25 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import BY_ID, BY_NAME, FRAME_BYTES, PENALTY, REGION, MAX_BLOCK, Config, FrameError, allowed
-from ..plans.blocks import LANES, in_blocks, lanes
-from . import kernels
-from .coding import U, bit_len, order1_bytes, varints, unvarints, zigzag
+from ..config import BY_ID, BY_NAME, FRAME_BYTES, LIMBS, MAX_BLOCK, PENALTY, REGION, BadMagic, Config, CorruptPayload, FrameError, KindMismatch, LengthMismatch, Truncated, UnknownMode, UnsupportedKind, UnsupportedVersion, allowed
+from ..plans.blocks import LANES
+from . import arrays, kernels, limbs
+from .coding import U, bit_len, order1_bytes, unvarints, varints, zigzag
 
 SCHEMA = "col string, kind string, block long, mode int, n int, nulls int, first long, payload binary, validity binary, lo long, hi long, crc long"
+#: Columns are encoded in so many groups side by side, each with a shuffle of its own columns and the position.
+GROUPS = 8
 #: Entropy-coded or predicted encodings are tried from these levels on.
 _ENTROPY = ("balanced", "high", "max")
+#: Encodings whose structure a sample with gaps doesn't show: they compete on whole blocks.
+_WHOLE = ("CONST", "STRIDE", "LZ", "NUM")
 
 
 def kind_of(name: str, log2: int = 16) -> kernels.Kind:
@@ -69,29 +76,27 @@ def choose(x: np.ndarray, kind: kernels.Kind, cfg: Config) -> tuple[str, bytes]:
     raw = kernels.encode("RAW", x, kind)
     best = ("RAW", raw, _score(len(raw), "RAW", n, kind, level))
     exp_range, low, repeats = profile(x)
-    if not n or noise(x, kind, low, repeats):
+    if not n:
         return best[:2]
     modes = allowed(level, kind.family)
-    if cfg.selection == "sample" and n > 512:
-        part = sample_of(x)
-        sizes = {m.name: kernels.encode(m.name, part, kind, penalty, False, entropy) for m in modes}
-        ranked = sorted((len(p), m.seq, m.name) for m in modes if (p := sizes[m.name]) is not None)
-        for _, _, name in ranked:
-            got = kernels.encode(name, x, kind, penalty, matches, entropy)
-            if got is not None:
-                return (name, got) if len(got) < len(raw) else best[:2]
-    top = []
+    if cfg.selection == "sample":
+        return _sampled(x, kind, cfg, modes, best, low or repeats)
+    if noise(x, kind, low, repeats):
+        return best[:2]
+    top, compressible = [], None
     for m in modes:
         if m.name == "RAW":
             continue
-        compressible = 20 * len(best[1]) < 19 * 8 * n
-        if m.name in ("DICT", "RLE", "LZ", "TRANSPOSE") and not compressible:
-            continue
+        if m.name in ("LZ", "TRANSPOSE", "DICT", "RLE"):
+            if compressible is None:  # settled by the encodings before these
+                compressible = _saves(len(best[1]), n)
+            if not compressible:
+                continue
         if m.name == "LZ" and not (penalty == 0 or low or repeats) or m.name == "TRANSPOSE" and not (exp_range <= 64 or repeats):
             continue
-        if kernels.KERNELS[m.name][2] and penalty == 0:
+        if kernels.KERNELS[m.name][2] and m.name != "TRANSPOSE":
             plain = kernels.KERNELS[m.name][0](x, kind)
-            if plain is None or 0.9 * order1_bytes(plain) >= best[2]:
+            if plain is None or not _saves(len(plain), n) or penalty == 0 and 0.9 * order1_bytes(plain) >= best[2]:
                 continue
         got = kernels.encode(m.name, x, kind, penalty, False, entropy)
         if got is None:
@@ -108,6 +113,35 @@ def choose(x: np.ndarray, kind: kernels.Kind, cfg: Config) -> tuple[str, bytes]:
     return best[:2]
 
 
+def _saves(size: int, n: int) -> bool:
+    """Whether bytes are under 95 % of 8 a value."""
+    return 20 * size < 19 * 8 * n
+
+
+def _sampled(x, kind, cfg: Config, modes, best, repetitive: bool) -> tuple[str, bytes]:
+    """Structure of whole blocks is tried on them; of the other encodings the one with the smallest payload of a sample
+    is tried on the block, and wins if its score there is the least."""
+    entropy, penalty, matches = cfg.level in _ENTROPY, PENALTY[cfg.level], cfg.level == "max"
+
+    def consider(name: str) -> None:
+        nonlocal best
+        got = kernels.encode(name, x, kind, penalty, matches, entropy)
+        if got is not None and (score := _score(len(got), name, len(x), kind, cfg.level)) < best[2]:
+            best = (name, got, score)
+
+    for m in modes:
+        if m.name in _WHOLE and (m.name != "LZ" or repetitive):
+            consider(m.name)
+    part, guesses = sample_of(x), []
+    for m in modes:
+        if m.name != "RAW" and m.name not in _WHOLE:
+            got = kernels.encode(m.name, part, kind, penalty, False, entropy)
+            guesses += [] if got is None else [(len(got), m.seq, m.name)]
+    if guesses:
+        consider(min(guesses)[2])
+    return best[:2]
+
+
 def pack_validity(valid: np.ndarray) -> bytes | None:
     """Bitmap or run lengths, whichever is shorter; nothing if all are valid."""
     if valid.all():
@@ -142,35 +176,48 @@ def plan_adaptive(x: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(cfg: Config, forced: str | None):
+def _frames_of(name: str, kind_name: str, pos: np.ndarray, x: np.ndarray, valid: np.ndarray, cfg: Config, forced: str | None, strict: bool) -> Iterator[tuple]:
+    """The frames of one column's stretch of positions."""
+    wide = x.ndim == 2
+    kind = kernels.Kind("int", 8, False, cfg.predictor_log2) if wide else kind_of(kind_name, cfg.predictor_log2)
+
+    def one(part):
+        if not forced:
+            mode, payload = choose(part, kind, cfg)
+            return BY_NAME[mode].id, payload
+        got = kernels.encode(forced, part, kind, PENALTY[cfg.level], cfg.level == "max", cfg.level in _ENTROPY)
+        if got is None:
+            if strict and len(part):
+                raise CorruptPayload(f"{forced} doesn't fit {name}, block from {pos[0]}")
+            return BY_NAME["RAW"].id, kernels.encode("RAW", part, kind)
+        return BY_NAME[forced].id, got
+
+    cuts = [0, len(x)]
+    if cfg.block_size is None:
+        rank = np.cumsum(valid)
+        cuts = [0, *(int(np.searchsorted(rank, b, "left")) + 1 for _, b in plan_adaptive((x[:, 0] if wide else x)[valid]))]
+        cuts[-1:] = [len(x)] if len(cuts) > 1 else [0, len(x)]
+    for a, b in zip(cuts, cuts[1:]):
+        ok = valid[a:b]
+        part = x[a:b][ok]
+        mode, payload = (LIMBS, limbs.encode(part, one)) if wide else one(part)
+        s = part.view(np.int64) if not wide else part[:0, 0]
+        yield name, kind_name, int(pos[a]), mode, len(part), int((~ok).sum()), int(pos[a]), payload, pack_validity(ok), int(s.min()) if len(s) else None, int(s.max()) if len(s) else None, zlib.crc32(payload)
+
+
+def _blocks(columns: Sequence[tuple[str, str]], cfg: Config, forced: str | None, strict: bool):
     def run(table):
         import pyarrow as pa
 
-        name, kind_name = table.column("col")[0].as_py(), table.column("kind")[0].as_py()
-        kind = kind_of(kind_name, cfg.predictor_log2)
         pos = table.column("pos").to_numpy()
-        order = np.argsort(pos, kind="stable")
-        lane = table.column("lane").combine_chunks()
-        valid = np.asarray(lane.is_valid())[order]
-        x = lane.fill_null(0).to_numpy().view(U)[order]
-        pos = pos[order]
-        dense = x[valid]
-        rank = np.append(0, np.cumsum(valid))
-        if cfg.block_size is None:
-            cuts = [0, *(int(np.searchsorted(rank[1:], b, "left")) + 1 for _, b in plan_adaptive(dense))]
-            cuts[-1:] = [len(x)] if len(cuts) > 1 else [0, len(x)]
-        else:
-            cuts = [0, len(x)]
+        order = None if (pos[1:] > pos[:-1]).all() else np.argsort(pos, kind="stable")
+        pos = pos if order is None else pos[order]
         rows = []
-        for a, b in zip(cuts, cuts[1:]):
-            part, ok = x[a:b][valid[a:b]], valid[a:b]
-            if forced:
-                got = kernels.encode(forced, part, kind, PENALTY[cfg.level], cfg.level == "max", cfg.level in _ENTROPY)
-                mode, payload = (forced, got) if got is not None else ("RAW", kernels.encode("RAW", part, kind))
-            else:
-                mode, payload = choose(part, kind, cfg)
-            s = part.view(np.int64)
-            rows.append((name, kind_name, int(pos[a]), BY_NAME[mode].id, len(part), int((~ok).sum()), int(pos[a]), payload, pack_validity(ok), int(s.min()) if len(s) else None, int(s.max()) if len(s) else None, zlib.crc32(payload)))
+        for k, (name, kind_name) in enumerate(columns):
+            x, valid = arrays.lanes(table.column(f"c{k}"), kind_name)
+            if order is not None:
+                x, valid = x[order], valid[order]
+            rows += _frames_of(name, kind_name, pos, x, valid, cfg, forced, strict)
         names = ["col", "kind", "block", "mode", "n", "nulls", "first", "payload", "validity", "lo", "hi", "crc"]
         types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(names, zip(*rows), types)})
@@ -178,48 +225,126 @@ def _blocks(cfg: Config, forced: str | None):
     return run
 
 
-def encode(df: DataFrame, columns: Sequence[str], cfg: Config = Config(), pos: str = "pos", forced: str | None = None) -> DataFrame:
+def encode(df: DataFrame, columns: Sequence[str], cfg: Config = Config(), pos: str = "pos", forced: str | None = None, strict: bool = False) -> DataFrame:
     """Frames of the columns of df, whose rows are in the order of `pos` (dense from 0).
 
-    Adaptive blocks are planned within stretches of 131072 positions; fixed ones are `block_size` positions.
-    `forced` names an encoding to use wherever it fits."""
-    rows = in_blocks(lanes(df, columns, pos), cfg.block_size or MAX_BLOCK)
-    return rows.select("col", "kind", "block", "pos", "lane").groupBy("col", "block").applyInArrow(_blocks(cfg, forced), SCHEMA)
+    Adaptive blocks are planned within stretches of 131072 positions; fixed ones are `block_size` positions. Decimals
+    and 32-byte binaries (256-bit integers, lowest byte first) are stored as limbs. df is read once per group of columns.
+    `forced` names an encoding to use wherever it fits; RAW stands in elsewhere, or with `strict` an error."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for c in columns:
+        arrays.limbs_of(types[c])
+    size, groups = cfg.block_size or MAX_BLOCK, min(len(columns), GROUPS)
+    parts = []
+    for k in range(groups):
+        mine = list(columns)[k::groups]
+        rows = df.select(F.expr(f"`{pos}` div {size}").alias("block"), F.col(pos).cast("long").alias("pos"), *(F.col(c).alias(f"c{j}") for j, c in enumerate(mine)))
+        parts.append(rows.groupBy("block").applyInArrow(_blocks([(c, types[c]) for c in mine], cfg, forced, strict), SCHEMA))
+    return reduce(DataFrame.union, parts)
+
+
+def open_frame(f: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes (or rows of limbs) of a frame, zero where null, and which are valid; anything wrong raises FrameError."""
+    if zlib.crc32(f["payload"]) != f["crc"]:
+        raise CorruptPayload(f"checksum of {f['col']}, block {f['block']}")
+    wide = arrays.limbs_of(f["kind"])
+    if wide:
+        if f["mode"] != LIMBS:
+            raise UnknownMode(f"{f['kind']} with encoding {f['mode']}")
+        kind = kernels.Kind("int", 8, False)
+        dense = limbs.decode(f["payload"], f["n"], lambda mode, raw, n: kernels.decode(mode, raw, n, kind))
+        if dense.shape[1] != wide:
+            raise CorruptPayload("bad number of limbs")
+    elif f["mode"] not in BY_ID:
+        raise UnknownMode(f"unknown encoding {f['mode']}")
+    else:
+        dense = kernels.decode(BY_ID[f["mode"]].name, f["payload"], f["n"], kind_of(f["kind"]))
+    if not f["nulls"]:
+        return dense, np.ones(len(dense), bool)
+    ok = unpack_validity(f["validity"], f["n"] + f["nulls"])
+    if int(ok.sum()) != f["n"]:
+        raise LengthMismatch("validity doesn't fit")
+    x = np.zeros((len(ok), *dense.shape[1:]), U)
+    x[ok] = dense
+    return x, ok
+
+
+def rows_of(f: dict, permissive: bool = False):
+    """A frame's rows as a batch (col, kind, pos, lane, value, error)."""
+    import pyarrow as pa
+
+    error = None
+    try:
+        if f["kind"] not in LANES:
+            raise KindMismatch(f"{f['kind']} has no lane: use restore()")
+        x, ok = open_frame(f)
+    except FrameError as e:
+        if not permissive:
+            raise
+        error, x, ok = str(e), np.zeros(1, U), np.zeros(1, bool)
+    n, mask = len(x), None if ok.all() else ~ok
+    floats = f["kind"] in ("double", "float")
+    text = lambda v: pa.repeat(pa.scalar(v, pa.string()), n)
+    value = pa.array(x.view(np.float64), mask=mask) if floats else pa.nulls(n, pa.float64())
+    out = [text(f["col"]), text(f["kind"]), pa.array(f["first"] + np.arange(n)), pa.array(x.view(np.int64), mask=mask), value, text(error)]
+    return pa.RecordBatch.from_arrays(out, names=["col", "kind", "pos", "lane", "value", "error"])
 
 
-def _open(permissive: bool):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def decode(frames: DataFrame, permissive: bool = False) -> DataFrame:
+    """(col, kind, pos, lane, value, error): value is the double of float columns. Bad frames raise, or give one row with an error.
+
+    Rows of a frame are in order of position; frames come in any order, so sort by (col, pos) where order matters."""
 
+    def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for f in batch.to_pylist():
-                error, lane, ok = None, np.zeros(0, np.int64), np.zeros(0, bool)
-                try:
-                    if zlib.crc32(f["payload"]) != f["crc"]:
-                        raise FrameError(f"checksum of {f['col']}, block {f['block']}")
-                    if f["mode"] not in BY_ID:
-                        raise FrameError(f"unknown encoding {f['mode']}")
-                    dense = kernels.decode(BY_ID[f["mode"]].name, f["payload"], f["n"], kind_of(f["kind"]))
-                    ok = unpack_validity(f["validity"], f["n"] + f["nulls"])
-                    if int(ok.sum()) != f["n"]:
-                        raise FrameError("validity doesn't fit")
-                    lane = np.zeros(len(ok), np.int64)
-                    lane[ok] = dense.view(np.int64)
-                except FrameError as e:
-                    if not permissive:
-                        raise
-                    error, lane, ok = str(e), np.zeros(1, np.int64), np.zeros(1, bool)
-                n = len(lane)
-                value = lane.view(np.float64) if f["kind"] in ("double", "float") else np.full(n, np.nan)
-                out = [pa.array([f["col"]] * n), pa.array([f["kind"]] * n), pa.array(f["first"] + np.arange(n)), pa.array(lane, mask=~ok), pa.array(value, mask=~ok if f["kind"] in ("double", "float") else np.ones(n, bool)), pa.array([error] * n, pa.string())]
-                yield pa.RecordBatch.from_arrays(out, names=["col", "kind", "pos", "lane", "value", "error"])
+                yield rows_of(f, permissive)
 
-    return run
+    return frames.mapInArrow(run, "col string, kind string, pos long, lane long, value double, error string")
 
 
-def decode(frames: DataFrame, permissive: bool = False) -> DataFrame:
-    """(col, kind, pos, lane, value, error): value is the double of float columns. Bad frames raise, or give one row with an error."""
-    return frames.mapInArrow(_open(permissive), "col string, kind string, pos long, lane long, value double, error string")
+def restore(frames: DataFrame, schema: T.StructType | str, pos: str = "pos") -> DataFrame:
+    """The table again: (pos, columns of `schema` with their types), from frames of these columns.
+
+    Frames of one stretch of positions meet in a task; a column stored as another type than asked for raises KindMismatch."""
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    want = [(f.name, f.dataType.simpleString()) for f in fields if f.name != pos]
+
+    def run(table):
+        import pyarrow as pa
+
+        parts: dict[str, list] = {}
+        for f in table.to_pylist():
+            parts.setdefault(f["col"], []).append(f)
+        out, firsts = {}, None
+        for name, kind in want:
+            mine = sorted(parts.get(name, []), key=lambda f: f["first"])
+            for f in mine:
+                if f["kind"] != kind:
+                    raise KindMismatch(f"{name} is {f['kind']}, not {kind}")
+            found = [open_frame(f) for f in mine]
+            at = np.concatenate([f["first"] + np.arange(len(x)) for f, (x, _) in zip(mine, found)] or [np.zeros(0, np.int64)])
+            if firsts is not None and not np.array_equal(at, firsts):
+                raise LengthMismatch(f"positions of {name} differ from those of {want[0][0]}")
+            firsts = at
+            out[name] = arrays.values(np.concatenate([x for x, _ in found]), np.concatenate([ok for _, ok in found]), kind)
+        return pa.table({pos: pa.array(firsts), **out})
+
+    ddl = T.StructType([T.StructField(pos, T.LongType()), *(f for f in fields if f.name != pos)])
+    mine = frames.where(F.col("col").isin([c for c, _ in want])).withColumn("_stretch", F.expr(f"first div {MAX_BLOCK}"))
+    return mine.groupBy("_stretch").applyInArrow(run, ddl)
+
+
+def compress(df: DataFrame, column: str, cfg: Config = Config(), pos: str = "pos") -> DataFrame:
+    """Frames of one column of doubles."""
+    if dict(df.dtypes)[column] != "double":
+        raise KindMismatch(f"{column} is {dict(df.dtypes)[column]}, not double")
+    return encode(df, [column], cfg, pos)
+
+
+def decompress(frames: DataFrame, column: str, pos: str = "pos") -> DataFrame:
+    """(pos, column) of frames of doubles; frames of another type raise KindMismatch."""
+    return restore(frames, f"`{column}` double", pos)
 
 
 def length(frames: DataFrame) -> DataFrame:
@@ -234,42 +359,114 @@ def skipping(frames: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def histogram(frames: DataFrame) -> DataFrame:
     """How often each encoding won."""
-    names = F.create_map(*[F.lit(x) for i, m in BY_ID.items() for x in (i, m.name)])
+    names = F.create_map(*[F.lit(x) for i, m in BY_ID.items() for x in (i, m.name)], F.lit(LIMBS), F.lit("LIMBS"))
     return frames.groupBy(names[F.col("mode")].alias("mode")).agg(F.count("*").alias("blocks"), F.sum(F.length("payload")).alias("bytes"))
 
 
 MAGIC = b"SLN2"
+_NULLS = 1
+_KINDS = [*LANES]
+
+
+def header(kind: str, rows: int, nulls: bool) -> bytes:
+    """Magic, version, flags, context bits, type and row count."""
+    if kind not in _KINDS:
+        raise UnsupportedKind(f"a stream has no room for {kind}")
+    return struct.pack("<4sBBBBQ", MAGIC, 2, _NULLS if nulls else 0, 16, _KINDS.index(kind), rows)
+
+
+def frame_bytes(f: dict, nulls: bool) -> bytes:
+    """Encoding, count, length and payload of a frame; in streams with nulls also its null count and validity."""
+    out = struct.pack("<BII", f["mode"], f["n"], len(f["payload"])) + bytes(f["payload"])
+    if nulls:
+        valid = bytes(f["validity"] or b"")
+        out += struct.pack("<II", f["nulls"], len(valid)) + valid
+    return out
 
 
 def to_bytes(rows: list[dict]) -> bytes:
-    """One column's frames as a stream: header, then mode, count, length and payload of each frame. For columns without nulls."""
+    """One column's frames as a stream of bytes, in order."""
     rows = sorted(rows, key=lambda r: r["first"])
-    kind = list(LANES).index(rows[0]["kind"]) if rows else 0
-    out = [struct.pack("<4sBBBBQ", MAGIC, 2, 0, 16, kind, sum(r["n"] for r in rows))]
-    for r in rows:
-        if r["nulls"]:
-            raise FrameError("a stream has no room for nulls: keep the frames")
-        out.append(struct.pack("<BII", r["mode"], r["n"], len(r["payload"])) + bytes(r["payload"]))
-    return b"".join(out)
-
-
-def from_bytes(raw: bytes) -> list[tuple[str, str, int, bytes]]:
-    """(mode, kind, n, payload) of a stream's frames; anything else raises FrameError."""
-    if len(raw) < 16 or raw[:4] != MAGIC:
-        raise FrameError("bad magic")
-    _, version, flags, log2, kind, total = struct.unpack("<4sBBBBQ", raw[:16])
-    if version != 2 or flags or not 10 <= log2 <= 16 or kind >= len(LANES):
-        raise FrameError("bad header")
-    out, at = [], 16
-    while at < len(raw):
-        if at + FRAME_BYTES > len(raw):
-            raise FrameError("truncated frame")
-        mode, n, size = struct.unpack("<BII", raw[at : at + FRAME_BYTES])
-        at += FRAME_BYTES
-        if mode not in BY_ID or n > MAX_BLOCK or at + size > len(raw):
-            raise FrameError("bad frame")
-        out.append((BY_ID[mode].name, list(LANES)[kind], n, raw[at : at + size]))
+    nulls = any(r["nulls"] for r in rows)
+    head = header(rows[0]["kind"] if rows else "double", sum(r["n"] + r["nulls"] for r in rows), nulls)
+    return head + b"".join(frame_bytes(r, nulls) for r in rows)
+
+
+def from_bytes(raw: bytes) -> list[dict]:
+    """The frames of a stream (kind, mode, n, nulls, first, payload, validity); anything else raises FrameError."""
+    if len(raw) < 16:
+        raise Truncated("truncated header")
+    magic, version, flags, log2, kind, total = struct.unpack("<4sBBBBQ", raw[:16])
+    if magic != MAGIC:
+        raise BadMagic("bad magic")
+    if version != 2:
+        raise UnsupportedVersion(f"version {version}")
+    if flags & ~_NULLS or not 10 <= log2 <= 16:
+        raise CorruptPayload("bad header")
+    if kind >= len(_KINDS):
+        raise UnsupportedKind(f"type {kind}")
+    out, at, first = [], 16, 0
+
+    def take(size: int) -> bytes:
+        nonlocal at
+        if at + size > len(raw):
+            raise Truncated("truncated frame")
         at += size
-    if sum(x[2] for x in out) != total:
-        raise FrameError("frames don't add up")
+        return raw[at - size : at]
+
+    while at < len(raw):
+        mode, n, size = struct.unpack("<BII", take(FRAME_BYTES))
+        if mode not in BY_ID:
+            raise UnknownMode(f"unknown encoding {mode}")
+        if n > MAX_BLOCK:
+            raise CorruptPayload("impossible block length")
+        payload, nulls, valid = take(size), 0, b""
+        if flags & _NULLS:
+            nulls, size = struct.unpack("<II", take(8))
+            valid = take(size)
+        out.append({"col": "", "kind": _KINDS[kind], "block": first, "mode": mode, "n": n, "nulls": nulls, "first": first, "payload": payload, "validity": valid or None, "crc": zlib.crc32(payload)})
+        first += n + nulls
+    if first != total:
+        raise LengthMismatch(f"{total} rows in the header, {first} in the frames")
     return out
+
+
+def stream_parts(frames: DataFrame) -> DataFrame:
+    """(col, first, part): a header (first -1) and a part per frame; a column's parts in order of `first` are its stream.
+
+    No value holds a whole column, so that columns of any size can be written."""
+    totals = frames.groupBy("col", "kind").agg(F.sum(F.col("n") + F.col("nulls")).alias("rows"), (F.sum("nulls") > 0).alias("any"))
+
+    def heads(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pylist([{"col": r["col"], "first": -1, "part": header(r["kind"], r["rows"], r["any"])} for r in rows], pa.schema([("col", pa.string()), ("first", pa.int64()), ("part", pa.binary())]))
+
+    def bodies(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pylist([{"col": r["col"], "first": r["first"], "part": frame_bytes(r, r["any"])} for r in rows], pa.schema([("col", pa.string()), ("first", pa.int64()), ("part", pa.binary())]))
+
+    schema = "col string, first long, part binary"
+    return totals.mapInArrow(heads, schema).union(frames.join(totals.select("col", "any"), "col").mapInArrow(bodies, schema))
+
+
+def register(spark: SparkSession) -> None:
+    """frame_encode(mode, kind, lanes) and frame_decode(mode, kind, payload, n) for SQL; null where an encoding doesn't fit."""
+    import pyarrow as pa
+
+    def frame_encode(mode: pa.Array, kind: pa.Array, lanes: pa.Array) -> pa.Array:
+        rows = zip(mode.to_pylist(), kind.to_pylist(), lanes.to_pylist())
+        return pa.array([None if x is None else kernels.encode(m, np.array(x, np.int64).view(U), kind_of(k), 2, False, True) for m, k, x in rows], pa.binary())
+
+    def frame_decode(mode: pa.Array, kind: pa.Array, payload: pa.Array, n: pa.Array) -> pa.Array:
+        rows = zip(mode.to_pylist(), kind.to_pylist(), payload.to_pylist(), n.to_pylist())
+        return pa.array([None if x is None else kernels.decode(m, x, size, kind_of(k)).view(np.int64) for m, k, x, size in rows], pa.list_(pa.int64()))
+
+    for f, returns in ((frame_encode, "binary"), (frame_decode, "array<long>")):
+        f.__annotations__ = {k: pa.Array for k in f.__annotations__}
+        spark.udf.register(f.__name__, F.arrow_udf(f, returns))

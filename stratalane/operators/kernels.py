@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..config import MAX_BLOCK, SUB_BLOCK, FrameError
-from .coding import U, bit_len, code, for_decode, for_encode, for_size, uncode, unvarints, unzigzag, varints, zigzag
+from ..config import MAX_BLOCK, SUB_BLOCK, CorruptPayload, FrameError, LengthMismatch, Truncated, UnknownMode
+from .coding import U, bit_len, code, for_decode, for_encode, for_size, pack_rows, rans_decode, rans_encode, uncode, unpack_rows, unvarints, unzigzag, varints, zigzag
 
 #: Decimal scales that are tried for floats.
 SCALES = [10.0**k for k in range(1, 8)]
 #: Extrapolation coefficients by order.
 NEWTON = [[1.0], [2.0, -1.0], [3.0, -3.0, 1.0], [4.0, -6.0, 4.0, -1.0]]
-_ROUND = 1.5 * 2**52
+#: Fixed value: added and taken away, it rounds a double to an integer.
+ROUND = 6755399441055744.0
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -31,7 +32,7 @@ def _le(x: np.ndarray) -> bytes:
 
 def _u64(raw: bytes, n: int, at: int = 0) -> np.ndarray:
     if len(raw) < at + 8 * n:
-        raise FrameError("truncated values")
+        raise Truncated("truncated values")
     return np.frombuffer(raw, "<u8", n, at).astype(U)
 
 
@@ -46,7 +47,7 @@ def raw_encode(x, kind):
 
 def raw_decode(raw, n, kind):
     if len(raw) < n * kind.bytes:
-        raise FrameError("truncated values")
+        raise Truncated("truncated values")
     if kind.bytes == 4 and kind.family == "float":
         return np.frombuffer(raw, "<f4", n).astype(np.float64).view(U)
     if kind.bytes == 4:
@@ -145,37 +146,43 @@ def mult_decode(raw, n, kind):
     return (i.view(np.int64) / SCALES[raw[0]]).view(U)
 
 
-def alp_digits(v: np.ndarray, e: int, f: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers of ten up and down, and all pairs of an exponent with a factor up to it.
+UP, DOWN = [10.0**k for k in range(19)], [10.0**-k for k in range(19)]
+PAIRS = [(e, f) for e in range(19) for f in range(e + 1)]
+_UP_E, _DOWN_F, _UP_F, _DOWN_E = (np.array([t[p[k]] for p in PAIRS]) for t, k in ((UP, 0), (DOWN, 1), (UP, 1), (DOWN, 0)))
+
+
+def alp_digits(v: np.ndarray, e, f) -> tuple[np.ndarray, np.ndarray]:
     """Integers of values scaled by 10**(e - f), and where they give the value back bit by bit."""
+    return _digits(v, UP[e], DOWN[f], UP[f], DOWN[e])
+
+
+def _digits(v, up_e, down_f, up_f, down_e) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(all="ignore"):
-        t = v * 10.0**e * 10.0**-f
+        t = v * up_e * down_f
         ok = np.isfinite(t) & (np.abs(t) < 2.0**63)
-        r = np.where(ok, (t + _ROUND) - _ROUND, 0.0)
+        r = np.where(ok, (t + ROUND) - ROUND, 0.0)
         d = r.astype(np.int64)
-        back = d.astype(np.float64) * 10.0**f * 10.0**-e
-    return d, ok & (back.view(U) == v.view(U))
+        back = d.astype(np.float64) * up_f * down_e
+    return d, ok & (back.view(U) == np.broadcast_to(v, back.shape).view(U))
 
 
 def alp_search(v: np.ndarray) -> tuple[int, int] | None:
     """Exponent and factor with the least estimated size on up to 32 values; None where over half don't fit."""
-    s = v[:: max(len(v) // 32, 1)][:32]
-    best = None
-    for e in range(19):
-        for f in range(e + 1):
-            d, ok = alp_digits(s, e, f)
-            bad = int((~ok).sum())
-            if bad == len(s):
-                width = 64
-            else:
-                width = (int(d[ok].max()) - int(d[ok].min())).bit_length()
-            cost = width * len(s) + 80 * bad
-            if best is None or cost < best[0]:
-                best = (cost, bad, e, f)
-    return None if best[1] * 2 > len(s) else best[2:]
+    s = np.ascontiguousarray(v[:: max(len(v) // 32, 1)][:32])
+    d, ok = _digits(s[None, :], _UP_E[:, None], _DOWN_F[:, None], _UP_F[:, None], _DOWN_E[:, None])
+    bad = (~ok).sum(1)
+    most, least = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    hi, lo = np.where(ok, d, least).max(1), np.where(ok, d, most).min(1)
+    span = np.where(bad < len(s), hi.view(U) - lo.view(U), U(0))
+    cost = np.where(bad == len(s), 64, bit_len(span)) * len(s) + 80 * bad
+    best = int(np.argmin(cost))
+    return None if bad[best] * 2 > len(s) else PAIRS[best]
 
 
 def alp_encode(x, kind):
-    out = [varints([len(x)])]
+    head, tail = [], []
+    plans = []
     for k in range(0, len(x), SUB_BLOCK):
         part = x[k : k + SUB_BLOCK]
         got = alp_search(_f(part))
@@ -184,41 +191,55 @@ def alp_encode(x, kind):
         d, ok = alp_digits(_f(part), *got)
         good = d[ok]
         least = int(good.min()) if len(good) else 0
-        span = int(good.max()) - least if len(good) else 0
-        width = span.bit_length()
+        width = (int(good.max()) - least).bit_length() if len(good) else 0
         if width > 32:
             return None
         rest = np.zeros(SUB_BLOCK, U)
         rest[: len(part)] = np.where(ok, d - least, 0).view(U)
         bad = np.flatnonzero(~ok)
-        from .coding import pack_bits
-
-        out += [bytes(got), len(bad).to_bytes(2, "little"), (least & (1 << 64) - 1).to_bytes(8, "little"), bytes([width]), pack_bits(rest, width), bad.astype("<u2").tobytes(), _le(part[bad])]
-    return b"".join(out)
+        plans.append((width, rest))
+        head.append(bytes(got) + len(bad).to_bytes(2, "little") + (least & (1 << 64) - 1).to_bytes(8, "little") + bytes([width]))
+        tail.append(bad.astype("<u2").tobytes() + _le(part[bad]))
+    packed = [b""] * len(plans)
+    for w in {p[0] for p in plans} - {0}:
+        which = [k for k, p in enumerate(plans) if p[0] == w]
+        words = pack_rows(np.stack([plans[k][1] for k in which]), w).astype("<u8")
+        for k, row in zip(which, words):
+            packed[k] = row.tobytes()
+    return varints([len(x)]) + b"".join(a + b + c for a, b, c in zip(head, packed, tail))
 
 
 def alp_decode(raw, n, kind):
-    from .coding import unpack_bits
-
     _, at = unvarints(raw, 1)
-    out = []
-    for k in range(0, n, SUB_BLOCK):
-        m = min(SUB_BLOCK, n - k)
+    rows = -(-n // SUB_BLOCK)
+    digits, least = np.zeros((rows, SUB_BLOCK), U), np.zeros(rows, np.int64)
+    up, down, patches, spots = np.ones(rows), np.ones(rows), [], {}
+    for k in range(rows):
+        m = min(SUB_BLOCK, n - k * SUB_BLOCK)
         if at + 13 > len(raw):
-            raise FrameError("truncated stretch")
+            raise Truncated("truncated stretch")
         e, f, bad = raw[at], raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "little")
-        least, width = int.from_bytes(raw[at + 4 : at + 12], "little", signed=True), raw[at + 12]
+        least[k], width = int.from_bytes(raw[at + 4 : at + 12], "little", signed=True), raw[at + 12]
         if width > 32 or e > 18 or f > e or bad > m:
-            raise FrameError("bad stretch")
-        d = unpack_bits(raw[at + 13 : at + 13 + 128 * width], width)[:m].view(np.int64) + least
-        at += 13 + 128 * width
-        v = (d.astype(np.float64) * 10.0**f * 10.0**-e).view(U)
-        if len(raw) < at + 10 * bad:
-            raise FrameError("truncated exceptions")
-        v[np.frombuffer(raw, "<u2", bad, at)] = np.frombuffer(raw, "<u8", bad, at + 2 * bad)
-        at += 10 * bad
-        out.append(v)
-    return np.concatenate(out) if out else np.zeros(0, U)
+            raise CorruptPayload("bad stretch")
+        end = at + 13 + 128 * width
+        if len(raw) < end + 10 * bad:
+            raise Truncated("truncated exceptions")
+        spots.setdefault(width, []).append((k, at + 13))
+        up[k], down[k] = UP[f], DOWN[e]
+        patches.append((k * SUB_BLOCK + np.frombuffer(raw, "<u2", bad, end).astype(np.int64), np.frombuffer(raw, "<u8", bad, end + 2 * bad)))
+        at = end + 10 * bad
+    data = np.frombuffer(raw, np.uint8)
+    for width, found in spots.items():
+        if width:
+            starts = np.array([p for _, p in found])
+            words = np.ascontiguousarray(data[starts[:, None] + np.arange(128 * width)]).view("<u8")
+            digits[[k for k, _ in found]] = unpack_rows(words, width)
+    with np.errstate(all="ignore"):
+        v = ((digits.view(np.int64) + least[:, None]).astype(np.float64) * up[:, None] * down[:, None]).view(U).ravel()[:n]
+    for where, values in patches:
+        v[where] = values
+    return v
 
 
 def _lefts(left: np.ndarray) -> np.ndarray:
@@ -276,7 +297,7 @@ def rd_decode(raw, n, kind):
     codes, at = for_decode(raw, at)
     rights, _ = for_decode(raw, at + 1)
     if len(codes) != n or len(rights) != n or (bad and int(where.max()) >= n) or (n and int(codes.max()) >= m):
-        raise FrameError("lengths differ")
+        raise LengthMismatch("lengths differ")
     left = d[codes.astype(np.int64)]
     left[where.astype(np.int64)] = values
     return (left << U(64 - cut)) | rights
@@ -323,7 +344,7 @@ def rle_decode(raw, n, kind):
     v = _u64(raw, int(m), at)
     lens, _ = for_decode(raw, at + 8 * int(m))
     if len(lens) != len(v) or int(lens.sum()) != n or (len(lens) and int(lens.max()) > n):
-        raise FrameError("runs don't add up")
+        raise LengthMismatch("runs don't add up")
     return np.repeat(v, lens.astype(np.int64))
 
 
@@ -338,6 +359,7 @@ def _crc_table() -> np.ndarray:
 
 
 _CRC = _crc_table()
+_CRC_LIST = _CRC.tolist()
 
 
 def context(x: np.ndarray, log2: int) -> np.ndarray:
@@ -367,28 +389,27 @@ def dfcm(x: np.ndarray, log2: int) -> np.ndarray:
     return _prev(x) + fcm(x - _prev(x), log2)
 
 
-def _scalar_context(v: int, log2: int, table=tuple(_CRC.tolist())) -> int:
-    h = 0x9E3779B9
-    for _ in range(8):
-        h = (h >> 8) ^ table[(h ^ v) & 255]
-        v >>= 8
-    return h & ((1 << log2) - 1)
-
-
 def fcm_decode(residual: np.ndarray, log2: int, deltas: bool) -> np.ndarray:
+    """The context of a value depends on it alone, so that each distinct one is hashed once."""
     table: dict[int, int] = {}
+    contexts: dict[int, int] = {}
     out, ctx, last, mask = [], 0, 0, (1 << 64) - 1
+    crc, low = _CRC_LIST, (1 << log2) - 1
     for r in residual.tolist():
         if deltas:
             v = ((last + table.get(ctx, 0)) & mask) ^ r
-            d = (v - last) & mask
-            table[ctx] = d
-            ctx = _scalar_context(d, log2)
+            x = (v - last) & mask
             last = v
         else:
-            v = table.get(ctx, 0) ^ r
-            table[ctx] = v
-            ctx = _scalar_context(v, log2)
+            x = v = table.get(ctx, 0) ^ r
+        table[ctx] = x
+        ctx = contexts.get(x, -1)
+        if ctx < 0:
+            h, y = 0x9E3779B9, x
+            for _ in range(8):
+                h = (h >> 8) ^ crc[(h ^ y) & 255]
+                y >>= 8
+            ctx = contexts[x] = h & low
         out.append(v)
     return np.array(out, U)
 
@@ -449,25 +470,31 @@ def poly_encode(x, kind):
     return bytes([k]) + varints(x ^ extrapolated(_f(x), k).view(U))
 
 
-def _poly(raw, n, step):
+def _poly(raw, n, xors: bool):
+    """Values from residuals, one after the other: each is predicted from those before it."""
+    import struct
+
     if not raw or not 1 <= raw[0] <= 4:
-        raise FrameError("bad order")
+        raise CorruptPayload("bad order")
     order, history, out = raw[0], [], []
     r = unvarints(raw, n, 1)[0]
-    with np.errstate(all="ignore"):
-        for k in range(n):
-            p = np.float64(0.0)
-            if history:
-                for c, h in zip(NEWTON[min(order, len(history)) - 1], history):
-                    p = p + np.float64(c) * h
-            v = step(p, r[k])
-            history = [v, *history[: order - 1]]
-            out.append(v)
+    if not xors:
+        r = np.bitwise_xor.accumulate(r).view(np.float64) if n else r
+    pack, unpack = struct.Struct("<d").pack, struct.Struct("<d").unpack
+    bits, value = struct.Struct("<Q").unpack, struct.Struct("<Q").pack
+    for x in r.tolist():
+        p = 0.0
+        if history:
+            for c, h in zip(NEWTON[min(order, len(history)) - 1], history):
+                p = p + c * h
+        v = unpack(value(bits(pack(p))[0] ^ x))[0] if xors else p + x
+        history = [v, *history[: order - 1]]
+        out.append(v)
     return np.array(out, np.float64).view(U)
 
 
 def poly_decode(raw, n, kind):
-    return _poly(raw, n, lambda p, r: (p.view(U) ^ r).view(np.float64))
+    return _poly(raw, n, True)
 
 
 def dp_encode(x, kind):
@@ -484,9 +511,8 @@ def dp_encode(x, kind):
 
 def dp_decode(raw, n, kind):
     if len(raw) < 1:
-        raise FrameError("no order")
-    r = np.bitwise_xor.accumulate(unvarints(raw, n, 1)[0]) if n else np.zeros(0, U)
-    return _poly(bytes(raw[:1]) + varints(r), n, lambda p, b: p + b.view(np.float64))
+        raise Truncated("no order")
+    return _poly(raw, n, False)
 
 
 def ordered_encode(x, kind):
@@ -534,34 +560,91 @@ def lz_decode(raw, n, kind):
         raise FrameError(str(e)) from e
 
 
+#: Rounds of differences that the numeric backend tries, and tags of its integers and planes.
+ROUNDS, _INTS, _ORDERED = 8, 255, 254
+_ZERO, _PLAIN, _CODED, _PACKED = range(4)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Float bits in an order of integers that is that of the floats: neighbours differ little."""
+    return np.where(x >> U(63), ~x, x | U(1 << 63))
+
+
+def _unordered(x: np.ndarray) -> np.ndarray:
+    return np.where(x >> U(63), x & U((1 << 63) - 1), ~x)
+
+
 def num_encode(x, kind):
-    """Numeric backend: the best of up to two rounds of differences, as byte planes, compressed."""
+    """Numeric backend: integers of the values (decimal digits, or float bits in order), up to seven rounds of differences,
+    as byte planes, each coded for itself. The round whose planes have the least entropy is taken."""
+    bases = [(_INTS if kind.family != "float" else _ORDERED, x if kind.family != "float" else _ordered(x))]
+    if kind.family == "float" and (y := scaled(x)) is not None:
+        bases.append((y[0], y[1].view(U)))
+    best = None
+    for tag, base in bases:
+        d = base
+        for order in range(ROUNDS):
+            planes = np.ascontiguousarray((zigzag(d) if order else d).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+            cost = sum(map(_entropy, planes))
+            if best is None or cost < best[0]:
+                best = (cost, order, tag, planes)
+            d = d - _prev(d)
+    _, order, tag, planes = best
+    return bytes([order, tag]) + b"".join(map(_plane, planes))
+
+
+def _entropy(p: np.ndarray) -> float:
+    """Bits of the bytes, each for itself."""
+    c = np.bincount(p)
+    c = c[c > 0]
+    return float((c * np.log2(len(p) / c)).sum())
+
+
+def _plane(p: np.ndarray) -> bytes:
     import zstandard
 
-    y = scaled(x) if kind.family == "float" else None
-    base = y[1].view(U) if y else x
-    best = None
-    for order in range(3):
-        z = base if order == 0 else zigzag(base - _prev(base)) if order == 1 else zigzag((base - _prev(base)) - _prev(base - _prev(base)))
-        got = bytes([order, 255 if y is None else y[0]]) + zstandard.ZstdCompressor(level=9).compress(planes_encode(z, kind))
-        best = got if best is None or len(got) < len(best) else best
-    return best
+    if not p.any():
+        return bytes([_ZERO])
+    raw = p.tobytes()
+    found = [(_PLAIN, raw), (_PACKED, zstandard.ZstdCompressor(level=9).compress(raw))]
+    if (coded := rans_encode(raw)) is not None:
+        found.append((_CODED, coded))
+    tag, got = min(found, key=lambda f: len(f[1]))
+    return bytes([tag]) + varints([len(got)]) + got
 
 
 def num_decode(raw, n, kind):
     import zstandard
 
-    if len(raw) < 2 or raw[0] > 2 or (raw[1] != 255 and raw[1] >= len(SCALES)):
-        raise FrameError("bad backend header")
-    try:
-        z = planes_decode(zstandard.ZstdDecompressor().decompress(raw[2:], max_output_size=8 * n), n, kind)
-    except zstandard.ZstdError as e:
-        raise FrameError(str(e)) from e
+    if len(raw) < 2 or raw[0] >= ROUNDS or (raw[1] not in (_INTS, _ORDERED) and raw[1] >= len(SCALES)):
+        raise CorruptPayload("bad backend header")
+    planes, at = np.zeros((8, n), np.uint8), 2
+    for k in range(8):
+        if at >= len(raw):
+            raise Truncated("truncated plane")
+        tag, at = raw[at], at + 1
+        if tag == _ZERO:
+            continue
+        (size,), at = unvarints(raw, 1, at)
+        part = raw[at : at + int(size)]
+        at += int(size)
+        if len(part) < int(size) or tag > _PACKED:
+            raise CorruptPayload("bad plane")
+        try:
+            got = part if tag == _PLAIN else rans_decode(part) if tag == _CODED else zstandard.ZstdDecompressor().decompress(part, max_output_size=n)
+        except zstandard.ZstdError as e:
+            raise CorruptPayload(str(e)) from e
+        if len(got) != n:
+            raise LengthMismatch("planes don't fit")
+        planes[k] = np.frombuffer(got, np.uint8)
+    z = np.ascontiguousarray(planes.T).view("<u8").ravel().astype(U)
     if raw[0]:
         z = unzigzag(z)
         for _ in range(raw[0]):
             z = np.cumsum(z, dtype=U)
-    return z if raw[1] == 255 else (z.view(np.int64) / SCALES[raw[1]]).view(U)
+    if raw[1] == _INTS:
+        return z
+    return _unordered(z) if raw[1] == _ORDERED else (z.view(np.int64) / SCALES[raw[1]]).view(U)
 
 
 #: name: (encode, decode, whether its output is residuals for the coder)
@@ -611,16 +694,16 @@ def decode(mode: str, raw: bytes, n: int, kind: Kind) -> np.ndarray:
     if not 0 <= n <= MAX_BLOCK:
         raise FrameError("impossible block length")
     if mode not in KERNELS:
-        raise FrameError(f"unknown encoding {mode}")
+        raise UnknownMode(f"unknown encoding {mode}")
     _, dec, residual = KERNELS[mode]
     try:
         out = dec(uncode(raw, 11 * n + 16) if residual else raw, n, kind)
     except FrameError:
         raise
     except (ValueError, IndexError, OverflowError, MemoryError) as e:
-        raise FrameError(f"{mode}: {e}") from e
+        raise CorruptPayload(f"{mode}: {e}") from e
     if len(out) != n:
-        raise FrameError("decoded length differs")
+        raise LengthMismatch("decoded length differs")
     return out
 
 

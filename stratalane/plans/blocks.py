@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import UnsupportedType
 from ..functions.lanes import double_bits
 from .work import written
 
@@ -46,7 +47,7 @@ def lane_of(column: Column, kind: str) -> Column:
     if kind == "date":
         return F.unix_date(column).cast("long")
     if kind not in LANES:
-        raise TypeError(f"no lane for {kind}")
+        raise UnsupportedType(f"no lane for {kind}")
     return column.cast("int").cast("long") if kind == "boolean" else column.cast("long")
 
 

@@ -11,14 +11,10 @@ their bounds; Spark still applies them to the rows. Any folder that pyarrow's fi
 from __future__ import annotations
 
 import uuid
-import zlib
 
-import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..config import BY_ID, FrameError
 from ..operators import frames as _frames
-from ..operators import kernels
 
 ROWS = "col string, kind string, pos long, lane long, value double"
 
@@ -34,9 +30,10 @@ class _Done(WriterCommitMessage):
 
 
 def _system(path: str):
+    """The file system of a folder. A path without a scheme must be one that the driver and all executors share."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
 
 class FramesSource(DataSource):
@@ -54,7 +51,7 @@ class FramesSource(DataSource):
         return (SkippingReader if skip else FramesReader)(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> FramesWriter:
-        return FramesWriter(self.options["path"])
+        return FramesWriter(self.options["path"], overwrite)
 
 
 class FramesReader(DataSourceReader):
@@ -80,7 +77,6 @@ class FramesReader(DataSourceReader):
         return f["first"] <= last and f["first"] + f["n"] + f["nulls"] > first
 
     def read(self, partition):
-        import pyarrow as pa
         import pyarrow.parquet as pq
 
         if partition is None or not partition.path:
@@ -88,17 +84,8 @@ class FramesReader(DataSourceReader):
         system, _ = _system(self.path)
         for batch in pq.ParquetFile(system.open_input_file(partition.path)).iter_batches(64):
             for f in batch.to_pylist():
-                if not self.wanted(f):
-                    continue
-                if zlib.crc32(f["payload"]) != f["crc"] or f["mode"] not in BY_ID:
-                    raise FrameError(f"bad frame of {f['col']}, block {f['block']}")
-                dense = kernels.decode(BY_ID[f["mode"]].name, f["payload"], f["n"], _frames.kind_of(f["kind"]))
-                ok = _frames.unpack_validity(f["validity"], f["n"] + f["nulls"])
-                lane = np.zeros(len(ok), np.int64)
-                lane[ok] = dense.view(np.int64)
-                floats = f["kind"] in ("double", "float")
-                value = pa.array(lane.view(np.float64), mask=~ok) if floats else pa.nulls(len(ok), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([f["col"]] * len(ok)), pa.array([f["kind"]] * len(ok)), pa.array(f["first"] + np.arange(len(ok))), pa.array(lane, mask=~ok), value], names=["col", "kind", "pos", "lane", "value"])
+                if self.wanted(f):
+                    yield _frames.rows_of(f).select(["col", "kind", "pos", "lane", "value"])
 
 
 class SkippingReader(FramesReader):
@@ -119,20 +106,22 @@ class SkippingReader(FramesReader):
 
 
 class FramesWriter(DataSourceArrowWriter):
-    """Writes frames as they come; files of a failed job are taken away again."""
+    """Writes frames as they come, into a staging folder of the job. Its files move into place on commit; with
+    overwrite those of before go first. A job that fails takes its staging folder away, whatever its tasks left there."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
+        self.stage = f"_stage-{uuid.uuid4().hex}"
 
     def write(self, iterator):
         import pyarrow.parquet as pq
 
         system, path = _system(self.path)
-        system.create_dir(path, recursive=True)
-        name, out = f"{path}/part-{uuid.uuid4().hex}.parquet", None
+        system.create_dir(f"{path}/{self.stage}", recursive=True)
+        name, out = f"part-{uuid.uuid4().hex}.parquet", None
         for batch in iterator:
             if out is None:
-                sink = system.open_output_stream(name + ".tmp")
+                sink = system.open_output_stream(f"{path}/{self.stage}/{name}")
                 out = pq.ParquetWriter(sink, batch.schema)
             out.write_batch(batch)
         if out is None:
@@ -142,13 +131,25 @@ class FramesWriter(DataSourceArrowWriter):
         return _Done(name)
 
     def commit(self, messages):
-        system, _ = _system(self.path)
+        from pyarrow import fs
+
+        system, path = _system(self.path)
+        system.create_dir(path, recursive=True)
+        if self.overwrite:
+            for x in system.get_file_info(fs.FileSelector(path)):
+                if x.type == fs.FileType.File and x.path.endswith(".parquet"):
+                    system.delete_file(x.path)
         for m in messages:
             if m is not None and m.path:
-                system.move(m.path + ".tmp", m.path)
+                system.move(f"{path}/{self.stage}/{m.path}", f"{path}/{m.path}")
+        self.clear()
 
     def abort(self, messages):
-        system, _ = _system(self.path)
-        for m in messages:
-            if m is not None and m.path:
-                system.delete_file(m.path + ".tmp")
+        self.clear()
+
+    def clear(self) -> None:
+        from pyarrow import fs
+
+        system, path = _system(self.path)
+        if system.get_file_info(f"{path}/{self.stage}").type == fs.FileType.Directory:
+            system.delete_dir(f"{path}/{self.stage}")

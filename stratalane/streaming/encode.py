@@ -14,16 +14,19 @@ from ..plans import blocks
 
 
 def append_batch(batch: DataFrame, batch_id: int, order: Sequence[str], columns: Sequence[str], path: str, cfg: Config) -> None:
-    """Frames of a batch under path/batch=<id>; written again as a whole if the batch is run again."""
+    """Frames of a batch under path/batch=<id>, numbered from where the batch before ended; written again as a whole if
+    the batch is run again. Row counts are kept under path/_rows, one small file a batch: frames aren't read again."""
     spark = batch.sparkSession
+    counts = f"{path}/_rows"
     before = 0
     if batch_id:
-        schema = frames.SCHEMA + ", batch long"
-        done = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
-        before = done.where(F.col("col") == columns[0]).agg(F.coalesce(F.sum(F.col("n") + F.col("nulls")), F.lit(0))).first()[0]
-    got = frames.encode(blocks.number(batch, order), columns, cfg)
+        done = spark.read.schema("batch long, rows long").parquet(counts).where(F.col("batch") < batch_id)
+        before = done.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    numbered = blocks.number(batch, order)
+    got = frames.encode(numbered, columns, cfg)
     got = got.withColumn("first", F.col("first") + F.lit(before)).withColumn("block", F.col("block") + F.lit(before))
     got.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    numbered.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
 
 def encode_stream(stream: DataFrame, order: Sequence[str], columns: Sequence[str], path: str, checkpoint: str, cfg: Config = Config("fast"), **trigger) -> StreamingQuery:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stratalane.config import MODES, Config, FrameError, allowed, mode_name
-from stratalane.operators import coding, frames, kernels
+from stratalane.operators import coding, frames, kernels, limbs
 from stratalane.operators.coding import U
 
 INT, INT4, FLOAT = kernels.Kind("int", 8, True), kernels.Kind("int", 4, True), kernels.Kind("float", 8, False)
@@ -135,11 +135,18 @@ def test_streams():
     from stratalane.config import BY_NAME
 
     rows = [{"first": 0, "kind": "bigint", "n": len(x), "nulls": 0, "mode": BY_NAME[mode].id, "payload": raw}]
-    ((m, kind, n, payload),) = frames.from_bytes(frames.to_bytes(rows))
-    assert (kernels.decode(m, payload, n, frames.kind_of(kind)) == x).all()
-    for bad in (b"", b"nope" + b"\0" * 12, frames.to_bytes(rows)[:-1], frames.to_bytes(rows)[:20]):
-        with pytest.raises(FrameError):
+    (f,) = frames.from_bytes(frames.to_bytes(rows))
+    got, ok = frames.open_frame(f | {"col": "x"})
+    assert (got == x).all() and ok.all()
+    whole = frames.to_bytes(rows)
+    for bad, error in [(b"", "Truncated"), (b"nope" + b"\0" * 12, "BadMagic"), (whole[:-1], "Truncated"), (whole[:20], "Truncated"), (whole[:4] + b"\x09" + whole[5:], "UnsupportedVersion"), (whole[:7] + b"\x77" + whole[8:], "UnsupportedKind"), (whole[:16] + b"\x63" + whole[17:], "UnknownMode"), (whole[:8] + b"\1" + whole[9:], "LengthMismatch")]:
+        with pytest.raises(FrameError) as e:
             frames.from_bytes(bad)
+        assert type(e.value).__name__ == error
+    valid = np.arange(len(x)) % 5 != 2
+    rows = [{"first": 0, "kind": "bigint", "n": int(valid.sum()), "nulls": int((~valid).sum()), "mode": BY_NAME["FOR"].id, "payload": kernels.encode("FOR", x[valid], INT), "validity": frames.pack_validity(valid)}]
+    got, ok = frames.open_frame(frames.from_bytes(frames.to_bytes(rows))[0])
+    assert (ok == valid).all() and (got[ok] == x[valid]).all() and not got[~ok].any()
     assert mode_name(99) == "?" and mode_name(50) == "FOR"
     assert {m.name for m in allowed("fastest", "float")} == {"RAW", "CONST", "STRIDE", "FOR", "DELTA_BP"}
 
@@ -154,3 +161,53 @@ def test_config_clamps(size):
 def test_adaptive_plan():
     assert frames.plan_adaptive(np.zeros(200000, U)) == [(0, 131072), (131072, 200000)]
     assert frames.plan_adaptive(lcg(1, 70000)) == [(0, 32768), (32768, 65536), (65536, 70000)]
+
+
+def test_limbs():
+    edges = [0, 1, -1, 2**64 - 1, 2**64, -(2**64), 2**127 - 1, -(2**127), 10**38 - 1]
+    for count, values in ((2, edges), (4, [*edges, 2**255 - 1, -(2**255), 2**192 + 7])):
+        a = limbs.of_ints([v for v in values for _ in values], count)
+        b = limbs.of_ints(values * len(values), count)
+        bits = 64 * count
+        wrap = lambda v: (v + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
+        pairs = [(x, y) for x in values for y in values]
+        assert limbs.to_ints(limbs.sub(a, b)) == [wrap(x - y) for x, y in pairs]
+        assert limbs.to_ints(limbs.add(a, b)) == [wrap(x + y) for x, y in pairs]
+        assert limbs.less(a, b).tolist() == [x < y for x, y in pairs]
+        assert limbs.to_ints(limbs.least(a)[None]) == [min(values)]
+        one = lambda x: (5, kernels.encode("RAW", x, INT))
+        assert (limbs.decode(limbs.encode(a, one), len(a), lambda m, raw, n: kernels.decode(m, raw, n, INT)) == a).all()
+    with pytest.raises(FrameError):
+        limbs.decode(b"\x02", 1, None)
+
+
+def test_sampled_selection_sees_whole_blocks():
+    stride = np.arange(65536, dtype=np.int64).view(U) * U(3)
+    for level in ("fastest", "fast", "balanced", "high", "max"):
+        assert frames.choose(stride, INT, Config(level, "sample"))[0] == "STRIDE"
+        assert frames.choose(np.full(70000, 7, U), INT, Config(level, "sample"))[0] == "CONST"
+    shapes = {"smooth": np.sin(np.arange(70000) * 0.01) * 50, "cents": (np.arange(70000) % 1000) / 100}
+    for v in shapes.values():
+        sizes = [len(frames.choose(v.view(U), FLOAT, Config("fast", s))[1]) for s in ("full", "sample")]
+        assert sizes[1] <= 1.1 * sizes[0]
+
+
+#: Least ratios at fastest, balanced and max of the reference's own regression test, on its four columns.
+FLOORS = {"sine": (1.40, 1.40, 7.90), "timestamps": (4.70, 4.70, 5.10), "lowcard": (7.50, 7.50, 7.70), "cents": (15.30, 15.30, 15.40)}
+def regression_column(name, n=50000):
+    if name == "sine":
+        return (np.sin(np.arange(n) * 1e-3) * 100 + np.arange(n) * 0.01).view(U), FLOAT, 8
+    if name == "timestamps":
+        return (1_700_000_000_000 + np.cumsum(1000 + (lcg(0x12345678, n) >> U(52)).astype(np.int64))).view(U), INT, 8
+    if name == "lowcard":
+        return (5000 + (lcg(0x9E37, n) >> U(60)).astype(np.int64)).view(U), INT4, 4
+    return limbs.of_ints((10000 + (lcg(0xFEED, n) >> U(56)).astype(np.int64)).tolist(), 2), None, 16
+
+
+@pytest.mark.parametrize("name", FLOORS)
+def test_ratio_floors(name):
+    x, kind, width = regression_column(name)
+    for level, floor in zip(("fastest", "balanced", "max"), FLOORS[name]):
+        got = list(frames._frames_of("x", {"sine": "double", "timestamps": "bigint", "lowcard": "int", "cents": "decimal(18,2)"}[name], np.arange(len(x)), x, np.ones(len(x), bool), Config(level), None, False))
+        ratio = width * len(x) / (16 + sum(9 + len(f[7]) for f in got))
+        assert ratio >= floor, (name, level, ratio)

@@ -12,7 +12,7 @@ from stratalane.config import BY_ID, Config, FrameError
 from stratalane.operators import frames, sizes
 from stratalane.plans import blocks
 from stratalane.sources.datasource import FramesSource
-from stratalane.sources.files import baselines, numeric, read_binary
+from stratalane.sources.files import CODECS, PARQUET, baselines, numeric, read_binary, totals, widened, write_csv
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,9 +109,15 @@ def test_rejects_strings(spark):
 def test_data_source(spark, mixed, tmp_path):
     spark.dataSource.register(FramesSource)
     path = str(tmp_path / "frames")
-    frames.encode(mixed, ["a", "b"], Config("fast", block_size=512)).write.format("stratalane").mode("append").save(path)
-    got = spark.read.format("stratalane").load(path)
-    assert got.count() == 10000
+    coded = frames.encode(mixed, ["a", "b"], Config("fast", block_size=512))
+    for mode, rows in (("overwrite", 10000), ("overwrite", 10000), ("append", 20000), ("overwrite", 10000)):
+        coded.write.format("stratalane").mode(mode).save(path)
+        got = spark.read.format("stratalane").load(path)
+        assert got.count() == rows
+    failing = coded.withColumn("n", F.expr("if(first > 2000, raise_error('no'), n)"))
+    with pytest.raises(Exception):
+        failing.write.format("stratalane").mode("append").save(path)
+    assert got.count() == 10000 and not [x for x in (tmp_path / "frames").iterdir() if not x.name.endswith(".parquet")]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     got = spark.read.format("stratalane").option("skip", "true").load(path)
     part = got.where("col = 'a' and lane between 600 and 900")
@@ -123,8 +129,20 @@ def test_binary_and_baselines(spark, mixed, tmp_path):
     (tmp_path / "x.bin").write_bytes(v.astype("<f8").tobytes())
     got = read_binary(spark, str(tmp_path / "x.bin")).orderBy("pos").collect()
     assert [r.value for r in got] == v.tolist()
-    sized = baselines(blocks.lanes(mixed.where("a is not null"), ["a"])).collect()
-    assert {r.codec for r in sized} >= {"lz4", "zstd-9"} and all(0 < r.bytes < r.raw for r in sized)
+    sized = baselines(blocks.lanes(mixed.where("a is not null"), ["a", "t"]))
+    assert {r.codec for r in sized.collect()} == {*CODECS, *PARQUET, "bitshuffle-lz4"} and all(0 < r.bytes < r.raw for r in sized.where("codec not like 'parquet%'").collect())
+    assert all(abs(r.ratio - r.raw / r.bytes) < 1e-6 for r in totals(sized).collect())
+    (tmp_path / "x.bin").write_bytes(v.astype("<f8").tobytes()[:-3])
+    with pytest.raises(Exception, match="ends within a value"):
+        read_binary(spark, str(tmp_path / "x.bin")).collect()
+    write_csv(totals(sized), str(tmp_path / "out.csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out.csv"))
+    assert back.columns == ["codec", "raw", "bytes", "ratio"] and back.count() == len(CODECS) + len(PARQUET) + 1
+
+
+def test_widening(spark):
+    df = spark.sql("select cast(1 as tinyint) a, cast(2 as smallint) b, cast(3 as decimal(20,0)) c, cast(18446744073709551615 as decimal(20,0)) d, 'x' s, cast(1.5 as float) f")
+    assert dict(widened(df).dtypes) == {"a": "int", "b": "int", "c": "bigint", "d": "decimal(20,0)", "f": "float"}
 
 
 def test_stream(spark, tmp_path):
@@ -154,3 +172,61 @@ def test_queries_match_sql(spark, name):
 
 def test_frame_error_is_a_value_error():
     assert issubclass(FrameError, ValueError)
+
+
+TYPED = "a long, b double, c boolean, t timestamp_ntz, z int, d decimal(18,2), w decimal(38,0), day date, u timestamp, f float, s smallint, y tinyint, big binary"
+
+
+@pytest.mark.parametrize("cfg", [Config("fastest", block_size=1000), Config("max")])
+def test_typed_round_trip(spark, cfg):
+    import decimal
+    import struct
+
+    rows = []
+    for k in range(3000):
+        null = k % 11 == 5
+        wide = (-1) ** k * (10**37 + k * 10**20) if k % 3 else k
+        b = [k / 4, float("inf"), -0.0, struct.unpack("<d", struct.pack("<Q", 0x7FF8000000000000 + k))[0]][k % 4]
+        v = (k * 3, b, k % 3 == 0, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), -k, decimal.Decimal(k * 7 - 900) / 100, decimal.Decimal(wide), dt.date(1960, 1, 1) + dt.timedelta(days=k), dt.datetime(2001, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=k), float(k % 50) / 8, k - 1500, k % 200 - 100, (2**200 + k).to_bytes(32, "little"))
+        rows.append((k, *(None if null and j % 2 else x for j, x in enumerate(v))))
+    df = spark.createDataFrame(rows, "pos long, " + TYPED).repartition(5)
+    cols = [c for c in df.columns if c != "pos"]
+    coded = frames.encode(df, cols, cfg)
+    got = frames.restore(coded, TYPED)
+    assert got.dtypes == df.dtypes
+    bits = F.expr("struct(*, reflect('java.lang.Double', 'doubleToRawLongBits', b) as raw)")
+    assert got.select(bits).exceptAll(df.select(bits)).count() == 0 and got.count() == 3000
+    assert frames.restore(coded, "d decimal(18,2)").agg(F.sum("d")).first()[0] == df.agg(F.sum("d")).first()[0]
+    with pytest.raises(Exception, match="is bigint, not double"):
+        frames.decompress(coded, "a").collect()
+    assert frames.decompress(frames.compress(df, "b", cfg), "b").count() == 3000
+    with pytest.raises(FrameError):
+        frames.compress(df, "a", cfg)
+    with pytest.raises(Exception, match="use restore"):
+        frames.decode(coded.where("col = 'd'")).collect()
+
+
+def test_streams_and_bounds(spark, mixed):
+    from stratalane.config import bound
+
+    coded = frames.encode(mixed, ["a", "b"], Config("fast", block_size=700))
+    parts = frames.stream_parts(coded).collect()
+    for name, kind in (("a", "bigint"), ("b", "double")):
+        raw = b"".join(bytes(r.part) for r in sorted((r for r in parts if r.col == name), key=lambda r: r["first"]))
+        got = frames.from_bytes(raw)
+        assert {f["kind"] for f in got} == {kind} and sum(f["n"] + f["nulls"] for f in got) == 5000 and len(raw) <= bound(5000)
+        want = {r.pos: r.lane for r in blocks.lanes(mixed, [name]).collect()}
+        assert {r.pos: r.lane for f in got for r in spark.createDataFrame(frames.rows_of(f | {"col": name}).to_pylist(), "col string, kind string, pos long, lane long, value double, error string").collect()} == want
+
+
+def test_sql_functions(spark):
+    frames.register(spark)
+    df = spark.range(5000).selectExpr("id div 1000 as g", "id", "id * 3 as x").groupBy("g").agg(F.expr("transform(array_sort(collect_list(struct(id, x))), e -> e.x) as lanes"))
+    df.createOrReplaceTempView("lane_arrays")
+    got = spark.sql("select lanes, frame_decode('FOR', 'bigint', frame_encode('FOR', 'bigint', lanes), size(lanes)) as back, frame_encode('CONST', 'bigint', lanes) as none from lane_arrays").collect()
+    assert len(got) == 5 and all(r.lanes == r.back and r.none is None for r in got)
+
+
+def test_strict_refuses_a_stand_in(spark, mixed):
+    with pytest.raises(Exception, match="CONST doesn't fit a"):
+        frames.encode(mixed, ["a"], Config("fast"), forced="CONST", strict=True).collect()
