@@ -6,8 +6,9 @@ Equal fingerprints are one node. Nodes are cut into tiles; numpy compares tile w
 population count, and skips blocks whose counts differ by more than the radius.
 
 Two layouts of the tiles, the first one exact:
-* narrow (one 64-bit word, small radius): radius + 1 bands; nodes within the radius agree in a band,
-  so tiles are cut inside the buckets of a band and large buckets into several tiles.
+* narrow (one 64-bit word, small radius): radius + 1 bands; nodes within the radius agree in a band, so
+  tiles are cut inside the buckets of a band. A large bucket is cut by population count, and only pairs of
+  tiles whose counts differ by no more than the radius are formed, before any rows are shuffled.
 * wide (several words, large radius): tiles are ranges of the number of shingles; pairs of tiles whose
   sizes cannot be similar are never formed. A filter comes first: of a pair within the radius a quarter of the
   words may differ in no more bits than expected and 4.5 standard deviations (of draws with replacement); pairs
@@ -16,8 +17,9 @@ Two layouts of the tiles, the first one exact:
 near_dedup takes wide links as candidates only: sets of shingles are compared exactly before rows are linked.
 
 Cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than
-a shingle make one shingle; repeated rows are rows of their own with equal fingerprints; a null id never
-names a component unless all its ids are null; extra columns are ignored (narrow) or kept (dedup).
+a shingle make one shingle; repeated rows are rows of their own with equal fingerprints; very long texts are
+hashed whole; an empty table gives no rows; of equal ids, and of ties of id, the text's hash decides; a null id never
+names a component unless all its ids are null; extra columns are ignored (narrow) or kept (dedup), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import buffers, stash, trimmed, tune
 from ._graph import components, forest
 
 TILE = 4096
+#: Tiles of up to so many rows are compared together with others.
+SMALL_TILE = 256
 WIDE_TILE = 32768
 #: Sets of up to FEW shingles find their candidates by a prefix filter instead of fingerprints; nodes and bytes of a tile of sets.
 FEW, SET_TILE, SET_BYTES = 64, 1024, 8 << 20
@@ -132,7 +136,6 @@ def compare(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray, ids_b: np.ndarray,
     words = a.shape[1]
     part = max(1, words // 4)
     first = min(radius, int(radius * part / words + 4.5 * (radius * part / words) ** 0.5) + 1)
-    order = sorted
     for i in range(0, len(a), block):
         x, px = a[i : i + block], pa[i : i + block]
         lo, hi = np.searchsorted(pb, px[0] - radius, "left"), np.searchsorted(pb, px[-1] + radius, "right")
@@ -165,25 +168,30 @@ def _narrow(radius: int):
             edge = np.flatnonzero((t[1:, :4] != t[:-1, :4]).any(1)) + 1
             starts = np.concatenate([[0], edge])
             ends = np.concatenate([edge, [len(t)]])
+            alone = (ends - starts) > SMALL_TILE
+            bits = t[:, 5].view(np.uint64)
+            count = np.bitwise_count(bits).astype(np.int64)
             group = np.repeat(np.arange(len(starts)), ends - starts)
-            small = (ends - starts) <= 256
-            pick = np.flatnonzero(small[group])  # small groups: row against the d-th next row, all groups at once
-            fp, g = t[pick, 5], group[pick]
-            bits = fp.view(np.uint64)
-            most = int((ends - starts)[small].max()) if small.any() else 0
-            for d in range(1, most):
-                near = np.flatnonzero((g[d:] == g[:-d]) & (np.bitwise_count(bits[d:] ^ bits[:-d]) <= radius)) if len(g) > d else []
-                if len(near):
-                    links.add(fp[near], fp[near + d])
-            for s, e in zip(starts[~small].tolist(), ends[~small].tolist()):
+            # small tiles, all at once: rows in order of group and count, each against the d-th next until counts differ too much
+            pick = np.flatnonzero(~alone[group])
+            pick = pick[np.lexsort((count[pick], group[pick]))]
+            g, x, c, fp = group[pick], bits[pick], count[pick], t[pick, 5]
+            of, other = t[pick, 4], t[pick, 2] != t[pick, 3]
+            open_ = np.arange(len(pick))
+            d = 1
+            while len(open_):
+                open_ = open_[open_ + d < len(pick)]
+                open_ = open_[(g[open_ + d] == g[open_]) & (c[open_ + d] - c[open_] <= radius)]
+                near = open_[np.bitwise_count(x[open_] ^ x[open_ + d]) <= radius]
+                near = near[~other[near] | (of[near] != of[near + d])]  # of two tiles only across
+                links.add(fp[near], fp[near + d])
+                d += 1
+            for s, e in zip(starts[alone].tolist(), ends[alone].tolist()):
                 part = t[s:e]
                 first = np.ascontiguousarray(part[part[:, 4] == part[0, 2], 5])
-                if part[0, 2] == part[0, 3]:
-                    x = first.view(np.uint64)[:, None]
-                    compare(x, first, x, first, radius, links)
-                else:
-                    second = np.ascontiguousarray(part[part[:, 4] == part[0, 3], 5])
-                    compare(first.view(np.uint64)[:, None], first, second.view(np.uint64)[:, None], second, radius, links)
+                second = first if part[0, 2] == part[0, 3] else np.ascontiguousarray(part[part[:, 4] == part[0, 3], 5])
+                x = first.view(np.uint64)[:, None]
+                compare(x, first, x if second is first else second.view(np.uint64)[:, None], second, radius, links)
 
         for batch in trimmed(batches):
             t = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], 1)
@@ -203,21 +211,39 @@ def _narrow(radius: int):
     return run
 
 
+def tiles(entries: DataFrame, radius: int, most: int) -> DataFrame:
+    """entries(band, value, fp) to (band, value, ta, tb, tile, fp): each fingerprint in every pair of tiles in which it is compared.
+
+    Within a bucket of a band a tile is a population count, or where more than `most` share it one of several by hash. Tile
+    pairs are formed for counts that differ by no more than the radius; others never exist, before any shuffle of rows.
+    Tile numbers are 2**20 * count + part; a bucket of up to `most` rows is one tile."""
+    entries = entries.withColumn("count", F.bit_count("fp").cast("int"))
+    sizes = entries.groupBy("band", "value", "count").agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("band", "value"))
+    plan = sizes.withColumn("whole", whole).where(F.col("whole") > most).groupBy("band", "value").agg(F.map_from_entries(F.collect_list(F.struct("count", F.ceil(F.col("n") / most).cast("int")))).alias("parts"))
+    plan = stash(plan, "buckets")  # at most 65 counts of a bucket, and only of buckets that are large
+    dealt = entries.join(plan, ["band", "value"], "left")
+    mine = F.col("parts")[F.col("count")]
+    own = F.shiftleft(F.col("count").cast("long"), 20) + F.pmod(F.xxhash64("fp"), F.coalesce(mine, F.lit(1)).cast("long"))
+    near = F.filter(F.map_keys("parts"), lambda c: F.abs(c - F.col("count")) <= radius)
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("parts")[c] - 1), lambda k: F.shiftleft(c.cast("long"), 20) + k)))
+    dealt = dealt.withColumn("tile", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(own))
+    dealt = dealt.select("band", "value", "fp", "tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("other"))
+    return dealt.select("band", "value", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "fp")
+
+
+def bands(nodes: DataFrame, radius: int) -> DataFrame:
+    """(band, value, fp): the bits of each fingerprint in radius + 1 bands; those within the radius agree in one."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.expr(f"shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L").alias("value")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
+    return nodes.select("fp", F.inline(keys))
+
+
 def narrow_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Distinct fingerprints (fp) to a spanning forest (u, v) of all links within the radius."""
-    bands = radius + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.expr(f"shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L").alias("value")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
-    entries = nodes.select("fp", F.inline(keys))
-    large = stash(entries.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "buckets")
-    tiles = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("int")
-    dealt = entries.join(large, ["band", "value"], "left").select("band", "value", "fp", tiles.alias("tiles"))
-    dealt = dealt.select("band", "value", "fp", "tiles", F.expr("cast(pmod(xxhash64(fp), tiles) as int)").alias("tile"))
-    dealt = dealt.select("band", "value", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("band", "value", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "fp")
     keys = ["band", "value", "ta", "tb"]
-    # every key is a range of bounded size, so hashing them deals out evenly
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_narrow(radius), "u long, v long")
+    # every key is a pair of tiles of bounded size, so hashing them deals out evenly
+    return tiles(bands(nodes, radius), radius, TILE).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_narrow(radius), "u long, v long")
 
 
 def _wide(radius: int):
