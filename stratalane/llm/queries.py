@@ -74,13 +74,13 @@ SQL = {
     "op1_license_scan": licenses.oracle(),
     "op3_exact_topk": """
 with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.c::double[], c.c::double[]) as bigint) as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.c) = len(c.c)
+  from (select distinct * from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id and len(q.c) = len(c.c)
 ), r as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
