@@ -5,10 +5,12 @@ to the task that owns them by hash; there each distinct word of the whole corpus
 ids come back to the block, are joined to the words and are put in order of position. Decoding joins
 the token-byte table, which is as large as the vocabulary.
 
-Words travel packed: one row per block and owner, in an order that both ends can rebuild.
+Words travel packed: one row per block and owner, in an order that both ends can rebuild. A corpus of over
+GROUP_BLOCKS blocks (64 GB) is a row of such pools, each of which encodes its distinct words once.
 
-Cases: a null or empty text has no ids; repeated rows give repeated results; a text with characters that
-Unicode versions class differently is encoded whole by the library; other columns are dropped.
+Cases: a null or empty text has no ids; repeated rows give repeated results; very long texts are a block of their own
+size; an empty table gives no rows; a text with characters that Unicode versions class differently is encoded whole by
+the library; null ids are ids like any other; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from ._common import buffers, pieces, total_bytes, trim, trimmed
 from .pretokens import cuts, dictionary
 
 BLOCK_BYTES = 4 << 20
+#: Blocks whose distinct words are pooled, and blocks to an owner of words. A block so sends rows to GROUP_BLOCKS / SHARE owners at
+#: most and an owner hears of GROUP_BLOCKS blocks at most: packed rows grow with the corpus, not with its square.
+GROUP_BLOCKS, SHARE = 16384, 4
 
 
 @functools.cache
@@ -174,8 +179,9 @@ def _send(owners: int):
         lens, who = np.diff(ends).astype("<u4"), owner[order]
         edges = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
         stops = np.append(edges[1:], len(who))
+        first = key[0].as_py() // GROUP_BLOCKS * owners  # owners of the block's group
         blobs = [_pack(lens[a:b], data[ends[a] : ends[b]]) for a, b in zip(edges.tolist(), stops.tolist())]
-        return pa.table({"block": pa.array(np.full(len(edges), key[0].as_py()), pa.int64()), "owner": pa.array(who[edges], pa.int64()), "words": pa.array(blobs, pa.binary())})
+        return pa.table({"block": pa.array(np.full(len(edges), key[0].as_py()), pa.int64()), "owner": pa.array(who[edges] + first, pa.int64()), "words": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -240,7 +246,7 @@ def _join(encoder, owners: int, finish: Callable):
 
 def by_block(docs: DataFrame, blocks: int, encoder, finish: Callable, schema: str) -> DataFrame:
     """docs(block, id, text) to what finish(block, keys, offsets, texts, ends, ids) makes of each block."""
-    owners = max(4, blocks // 4)
+    owners = max(4, min(blocks, GROUP_BLOCKS) // SHARE)
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.select("block", "id", "text").mapInArrow(_pack_rows, f"block long, ids array<{kind}>, texts binary")
     sent = docs.groupBy("block").applyInArrow(_send(owners), "block long, owner long, words binary")
