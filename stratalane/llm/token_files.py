@@ -7,8 +7,9 @@ counts, so sequence k of a file is a slice of a memory map. A manifest row per d
 its first id there and its count; `start` counts the ids of all documents before it.
 
 Files are written to a new folder of the shared place, under a temporary name first, so that a task
-that is run again leaves the same file. Cases: null ids come first, equal ids go by text; a null text
-is an end id only; no documents make no files.
+that is run again leaves the same file. Cases: null ids come first, equal ids go by text, repeated rows stand side by
+side; ids are numbers or strings (in order of their bytes); a null or empty text is an end id only; very long texts are a
+file of their own size; no documents make no files; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ BATCH = 256
 
 
 def _filesystem(uri: str):
+    """The file system of a folder; s3a and s3n are the names that Spark has for s3."""
+    import re
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def write_file(uri: str, ids: np.ndarray, sequence: int = SEQUENCE, batch: int = BATCH) -> None:
@@ -88,11 +92,12 @@ def write(docs: DataFrame, encoder, end_id: int = 0, id_col: str = "doc_id", tex
     """Encodes and writes; returns the manifest (id, block, file, first, n_tokens, start)."""
     spark = docs.sparkSession
     folder = new_dir(spark, "tokens")
-    if not folder.startswith(("file:", "hdfs:", "s3:", "gs:", "abfs")):
+    if ":" not in folder.split("/")[0]:  # a path without a scheme is one that all share, as checkpoints are
         folder = f"file://{folder}"
     _make(folder)
     blocks = max(2, -(-total_bytes(docs, text_col) // bpe.BLOCK_BYTES))
-    cut = docs.select(F.percentile_approx(id_col, [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0] or []
+    key = _ordinal(docs, id_col)
+    cut = docs.select(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], min(100 * blocks, 2**31 - 1))).first()[0] or []
     cut = np.array(sorted(set(cut)))
 
     @F.pandas_udf("long")
@@ -107,7 +112,7 @@ def write(docs: DataFrame, encoder, end_id: int = 0, id_col: str = "doc_id", tex
         keys = ids_of.to_pylist()
         text = lambda k: texts[offsets[k] : offsets[k + 1]]
         tied = len(set(keys)) < len(keys)
-        order = sorted(range(len(keys)), key=lambda k: (keys[k] is not None, keys[k] or 0, text(k) if tied else b""))
+        order = sorted(range(len(keys)), key=lambda k: (keys[k] is not None, _sortable(keys[k]), text(k) if tied else b""))
         parts = [np.append(ids[ends[k] : ends[k + 1]], np.uint32(end_id)) for k in order]
         counts = np.array([len(p) for p in parts], np.int64)
         uri = f"{folder}/part-{block + 1:09d}.arrow"
@@ -115,7 +120,7 @@ def write(docs: DataFrame, encoder, end_id: int = 0, id_col: str = "doc_id", tex
         return pa.table({"id": ids_of.take(pa.array(order)), "block": pa.array([block] * len(order), pa.int64()), "file": pa.array([uri] * len(order)), "first": pa.array(np.cumsum(counts) - counts), "n_tokens": pa.array(counts)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(block_of(F.col(id_col)).alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(block_of(key).alias("block"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     manifest = stash(bpe.by_block(rows, blocks, encoder, finish, f"id {kind}, block long, file string, first long, n_tokens long"), "manifest")
     from pyspark.sql import Window
 
@@ -125,6 +130,21 @@ def write(docs: DataFrame, encoder, end_id: int = 0, id_col: str = "doc_id", tex
     return manifest.join(before, "block").select(F.col("id").alias(id_col), "block", "file", "first", "n_tokens", (F.col("before") + F.col("first")).alias("start"))
 
 
+def _sortable(x):
+    return x.encode() if isinstance(x, str) else 0 if x is None else x
+
+
+def _ordinal(docs: DataFrame, id_col: str):
+    """A number in the order of the ids: numbers as they are, of strings the seven bytes after what all begin with."""
+    if docs.schema[id_col].dataType.simpleString() != "string":
+        return F.col(id_col)
+    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
+    lo, hi = (lo or "").encode(), (hi or "").encode()
+    same = next((k for k, (a, b) in enumerate(zip(lo, hi)) if a != b), min(len(lo), len(hi)))
+    part = F.substring(F.col(id_col).cast("binary"), same + 1, 7)
+    return F.when(F.col(id_col).isNotNull(), F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long"))
+
+
 def _make(folder: str) -> None:
     system, path = _filesystem(folder)
     system.create_dir(path, recursive=True)
