@@ -5,11 +5,13 @@ corpus, and one of the empty term for each document's length. An item is cut int
 window is sought from its two rarest terms: their postings, less a term's offset in the item, are lists of
 alignments of item and document, and those in both lists are candidates. The positions at which an alignment needs each of the item's
 terms are intersected with the postings; runs of hits as long as a window are exact phrase matches.
-Proximity matches ask for an item's rarest terms within a span, in any order.
+Proximity matches ask for an item's rarest terms within a span of words, in any order.
 
 Cases: a null or empty text has no words and no hits; an item without words is never found; a null item
 id counts as the empty string; repeated rows of either side give what single rows give, once per
-document row; documents are told apart by id and text, so ids may be null or repeated.
+document row; documents are told apart by id and text, so ids may be null or repeated; very long texts are indexed
+whole; empty tables give no rows or no hits; of ties between rare terms the earlier in the item is taken; extra columns,
+whatever their names, are left out of the report and kept by clean().
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from ._common import ascii_lower, stash
 
 #: Characters other than digits, letters and all beyond ASCII; A-Z is lower-cased before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows that a table may have to be broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes that a table's values may take to be broadcast; larger ones are joined by shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text):
@@ -30,7 +32,9 @@ def words(text):
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df to be broadcast if its values, written out, and 16 bytes a value more take no more than BROADCAST_BYTES."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + 16 * len(df.columns)
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
 
 
 def items_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -82,18 +86,23 @@ def phrases(postings: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def proximity(postings: DataFrame, items: DataFrame, terms: int = 3, span: int = 50) -> DataFrame:
-    """(kid, th, item_id, start, end): places where an item's rarest distinct terms stand within `span` words."""
+    """(kid, th, item_id, start, end): places where an item's rarest distinct terms, `terms` of them at most, all stand within
+    `span` words, in any order: of each position at which one stands the shortest stretch that ends there and has all.
+
+    Cells of span words overlap by as much, so that every stretch lies in one; within a cell the last position of each
+    term before a row is a running maximum, and the stretch begins at the least of these."""
     items = rarest(postings, items)
     pairs = F.array_distinct(F.transform("terms", lambda t, i: F.struct(F.element_at("dfs", i + 1).alias("n"), t.alias("t"))))
-    chosen = items.select("item", "item_id", F.slice(F.array_sort(F.filter(pairs, lambda x: x["n"] > 0)), 1, terms).alias("c"))
-    chosen = chosen.select("item", "item_id", F.size("c").alias("m"), F.posexplode("c").alias("k", "x")).select("item", "item_id", "m", "k", F.col("x.t").alias("term"))
-    hits = postings.join(_small(stash(chosen, "chosen")), "term")
-    first = hits.where("k = 0").select("kid", "th", "item", "item_id", "m", F.col("pos").alias("at"))
-    first = first.withColumn("cell", F.explode(F.expr(f"array(at div {span} - 1, at div {span}, at div {span} + 1)")))
-    rest = hits.where("k > 0").select("kid", "th", "item", "k", "pos", F.expr(f"pos div {span}").alias("cell"))
-    both = first.join(rest, ["kid", "th", "item", "cell"], "left").where(f"pos is null or abs(pos - at) < {span}")
-    found = both.groupBy("kid", "th", "item", "item_id", "m", "at").agg(F.count_distinct("k").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"))
-    return found.where("n = m - 1").select("kid", "th", "item_id", F.least("at", "a").alias("start"), F.greatest("at", "b").alias("end"))
+    chosen = items.select("item", "item_id", F.size(F.array_distinct("terms")).alias("distinct"), F.slice(F.array_sort(F.filter(pairs, lambda x: x["n"] > 0)), 1, terms).alias("c"))
+    chosen = chosen.where(F.size("c") == F.least("distinct", F.lit(terms))).select("item", "item_id", F.size("c").alias("m"), F.posexplode("c").alias("k", "x")).select("item", "item_id", "m", "k", F.col("x.t").alias("term"))
+    hits = postings.join(_small(stash(chosen, "chosen")), "term").select("kid", "th", "item", "item_id", "m", "k", "pos")
+    cells = hits.withColumn("cell", F.explode(F.expr(f"array(pos div {span}, pos div {span} + 1)")))
+    before = Window.partitionBy("kid", "th", "item", "cell").orderBy("pos")
+    last = [F.max(F.when(F.col("k") == j, F.col("pos"))).over(before).alias(f"last{j}") for j in range(terms)]
+    out = cells.select("kid", "th", "item", "item_id", "m", "pos", "cell", *last).where(F.expr(f"pos div {span} = cell - 1 or pos div {span} = cell"))
+    have = F.array_compact(F.array(*(F.col(f"last{j}") for j in range(terms))))
+    out = out.select("kid", "th", "item_id", F.array_min(have).alias("start"), F.col("pos").alias("end"), (F.size(have) == F.col("m")).alias("all"))
+    return out.where(F.col("all") & (F.col("end") - F.col("start") < span)).select("kid", "th", "item_id", "start", "end").distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
