@@ -10,7 +10,9 @@ Only tokens near a digit, an at sign or a spelled-out one can belong to a segmen
 into regions, which are solved each for itself, exactly. An added span keeps off base spans.
 
 Cases: null and empty texts have no spans; repeated rows get equal results; positions are code points, ends
-exclusive; without a text to train on, nothing is added.
+exclusive; very long texts are read whole, also where they have no white space, in time that grows with their length;
+without a text to train on, and so for an empty table, nothing is added; of ties the segmentation that comes first in
+the order of ends and kinds is taken; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ._common import trimmed, tune
 
 KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 16
-TRAIN_DOCS = 600
+#: The model is fitted on windows around triggers: so many at most, each of so many characters at most.
+TRAIN_WINDOWS, WINDOW_CHARS = 1500, 2000
 #: The base patterns, in forms that take linear time.
 _AT_TAIL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -93,9 +96,9 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
         else:
             spans.append([a, b])
     for lo, hi in spans:
-        while lo > 0 and not text[lo - 1].isspace() and hi - lo < 400:
+        while lo > 0 and not text[lo - 1].isspace():
             lo -= 1
-        while hi < len(text) and not text[hi].isspace() and hi - lo < 800:
+        while hi < len(text) and not text[hi].isspace():
             hi += 1
         tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
         if tokens:
@@ -268,8 +271,6 @@ def train(texts: list[str], rounds: int = 8, rate: float = 0.5, l2: float = 1e-4
         for t, gold in [(text, spans)] + ([disguised(text, spans, n)] if spans else []):
             where = {(a, b): k for k, a, b in gold}
             for tokens in regions(t):
-                if len(tokens) > 400:
-                    continue
                 segs, _ = _scored(model, t, tokens)
                 if segs:
                     goal = {(i, j): where[tokens[i][0], tokens[j - 1][1]] for i, j, *_ in segs if (tokens[i][0], tokens[j - 1][1]) in where}
@@ -317,20 +318,27 @@ def added(model: Model, text: str, known: list[tuple[str, int, int]], least: flo
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> Model:
-    """Trains on the documents with triggers, `sample` of them at most (those with the smallest hash), cut to windows around triggers."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_WINDOWS, longest: int = WINDOW_CHARS) -> Model:
+    """Trains on `sample` windows around triggers at most, those with the smallest hash; windows of over `longest` characters
+    aren't trained on. Only documents under a bound on their hash, of which about three times as many as needed are expected,
+    are cut into windows, so that what comes to the driver doesn't grow with the corpus."""
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t")).where(F.rlike("t", F.lit("[0-9][0-9 ().-]{5,}[0-9]|@")))
+    total = texts.count()
+    bound = int(min(1.0, 3 * (sample + 100) / max(1, total)) * 2**64) - 2**63 - 1
+    texts = texts.where(F.col("h") <= F.lit(min(bound, 2**63 - 1)).cast("long"))
 
     def windows(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in trimmed(batches):
             hs, ts = [], []
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [t[max(0, r[0][0] - 20) : r[-1][1] + 20] for r in regions(t)[:50]]
-                if parts:
-                    hs.append(h)
-                    ts.append("\n\n".join(parts))
+            for t in batch.column(1).to_pylist():
+                for r in regions(t):
+                    part = t[max(0, r[0][0] - 20) : r[-1][1] + 20]
+                    if len(part) <= longest:
+                        hs.append(xxh64_intdigest(part.encode()) >> 1)
+                        ts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ts, pa.string())], names=["h", "t"])
 
     rows = texts.mapInArrow(windows, "h long, t string").orderBy("h", "t").limit(sample).collect()
