@@ -1,22 +1,27 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote reject, keep or nothing on a sample. Expectation-maximisation
-estimates each one's vote probabilities given the hidden class, and thus a posterior for each sampled
-text; the posteriors train a linear scorer over hashed words, word beginnings and bucketed measures of
-the text (FTRL with an L1 penalty, so that words without a say have no weight). Curated labels vote as one
-labeller more, and words that only rejected labelled texts have make the list of another.
-
-The sample is bounded: `labelled` rows with labels and `unlabelled` without, those with the smallest hash
-of their id. The model is one array of 2**BITS floats, so its broadcast has a fixed size.
-
-Cases: a null or empty text has no words and is rejected by the scorer's measures like any text; without
-labels the heuristics decide alone; without documents nothing is trained and nothing returned; null labels
-don't vote; rows that repeat get equal scores; other columns are kept, whatever their names.
+Overlapping heuristic labellers vote reject, keep or nothing on every text. How often each pattern of votes
+occurs is counted over all documents; these counts and the labelled sample, on which curated labels vote as one
+labeller more, go into an expectation-maximisation that estimates each labeller's vote probabilities given the
+hidden class. The posteriors of the labelled sample train a linear scorer over hashed words, word beginnings and
+bucketed measures of the text (FTRL with an L1 penalty, so that words without a say have no weight). Words that
+only rejected labelled texts have make the list of one more labeller.
+
+The sample of labelled rows is bounded: `labelled` rows, those with the smallest hash of their id, and of equal
+ids one. The counts of all documents weigh as `weight` rows together, whatever their number, so that the label
+model is alike at every size. Without labels the sample is `labelled` rows of the documents, on their posteriors.
+The model is one array of 2**BITS floats, so its broadcast has a fixed size.
+
+Cases: a null or empty text has no words and is rejected by the scorer's measures like any text; very long texts
+are read whole, by the same measures as short ones; without labels the heuristics decide alone; without documents
+nothing is trained and nothing returned; null labels don't vote; of several labels of an id a rejecting one counts;
+rows that repeat get equal scores; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_udf, trim, trimmed, tune
 
 BITS = 18
-LABELLED, UNLABELLED = 10000, 2000
+#: Most labelled rows that are fitted on, and the weight of all documents' votes beside them.
+LABELLED, WEIGHT = 10000, 2000
 #: Words that insult.
 INSULTS = {"loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid"}
 LABELLERS = ["repeats", "capitals", "symbols", "bangs", "pipes", "lines", "insults", "prose", "listed", "curated"]
@@ -37,12 +43,11 @@ _SYMBOLS = re.compile(r"[*%$#&^~@=+]{2,}")
 def measures(text: str) -> dict[str, float]:
     words = text.split()
     n = max(1, len(words))
-    letters = sum(map(str.isalpha, text)) if len(text) < 200 else None
-    if letters is None:
-        upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-        letters = len(re.findall(r"[^\W\d_]", text))
-    else:
-        upper = sum(map(str.isupper, text))
+    letters = upper = 0
+    for c, times in Counter(text).items():
+        if c.isalpha():
+            letters += times
+            upper += times * c.isupper()
     lines = [x for x in text.split("\n") if x.strip()]
     return {
         "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
@@ -91,19 +96,21 @@ def _sampled(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array([votes(m, w) for m, w in got], pa.list_(pa.int32())), pa.array(f, pa.list_(pa.int32())), batch.column(1)], names=["votes", "features", "y"])
 
 
-def maximise(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of reject for each row of votes, and P(vote | class) as (labeller, class, vote + 1)."""
+def maximise(votes: np.ndarray, times: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of reject for each row of votes, that counts `times`, and P(vote | class) as (labeller, class, vote + 1)."""
     n, m = votes.shape
+    times = np.ones(n) if times is None else times
     weight = np.where(np.arange(m) == m - 1, 3.0, 1.0)  # curated labels start with more say
     post = 1 / (1 + np.exp(-2 * (votes * weight).sum(1)))
     table = np.zeros((m, 2, 3))
     for _ in range(rounds):
-        prior = np.clip(np.array([1 - post.mean(), post.mean()]) if n else np.array([0.5, 0.5]), 0.02, 0.98)
+        share = (post * times).sum() / times.sum() if n else 0.5
+        prior = np.clip(np.array([1 - share, share]), 0.02, 0.98)
         logp = np.log(prior)[None, :].repeat(n, 0)
         for j in range(m):
             for v in range(3):
                 hit = votes[:, j] == v - 1
-                table[j, 1, v], table[j, 0, v] = post[hit].sum() + 0.1, (1 - post[hit]).sum() + 0.1
+                table[j, 1, v], table[j, 0, v] = (post * times)[hit].sum() + 0.1, ((1 - post) * times)[hit].sum() + 0.1
             table[j] /= table[j].sum(1, keepdims=True)
             logp += np.log(table[j][:, votes[:, j] + 1]).T
         new = 1 / (1 + np.exp(np.clip(logp[:, 0] - logp[:, 1], -50, 50)))
@@ -146,17 +153,45 @@ def screen(flat: np.ndarray, row: np.ndarray, post: np.ndarray, least: float = 4
     return (n >= 4) & (np.abs(z) >= least)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> np.ndarray:
+def _voted(listed: np.ndarray):
+    """Batches of texts to their votes, the listed words' vote last."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh32_intdigest as h
+
+        mask = (1 << BITS) - 1
+        bad = set(np.flatnonzero(listed).tolist())
+        for batch in trimmed(batches):
+            out = []
+            for t in batch.column(0).to_pylist():
+                m, words = _look(t or "")
+                hit = bool(bad) and any(h(f"w{x}".encode()) & mask in bad for x in words)
+                out.append([*votes(m, words), int(hit)])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["votes"])
+
+    return run
+
+
+def smallest(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows with the smallest hash of the columns `by`. Rows over a bound that keeps about 3n are left out first, so
+    that tasks don't all send n."""
+    h = F.xxhash64(*by)
+    total = rows.count()
+    bound = int(min(1.0, 3 * (n + 100) / max(1, total)) * 2**64) - 2**63 - 1
+    return rows.where(h <= F.lit(min(bound, 2**63 - 1)).cast("long")).orderBy(h, *by).limit(n)
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, weight: int = WEIGHT) -> np.ndarray:
     """Weights of the scorer. labels(id, quality, toxic); a row is to be rejected for quality 0 or toxic 1."""
     tune(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    pick = lambda df, n: df.orderBy(F.xxhash64("i"), "i").limit(n)  # noqa: E731  a bounded number of rows
-    parts = [texts.join(F.broadcast(pick(texts.select("i"), unlabelled).distinct()), "i", "left_semi").select("t", F.lit(0).alias("y"))]
     if labels is not None:
         y = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), -1)
         known = labels.select(F.col(id_col).alias("i"), y.alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-        parts.append(texts.join(F.broadcast(pick(known, labelled)), "i").select("t", "y"))
-    sample = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+        sample = texts.join(F.broadcast(smallest(known, labelled, "i")), "i").groupBy("i").agg(F.min_by(F.struct("t", "y"), F.struct(F.xxhash64("t"), "t")).alias("one")).select("one.*")
+    else:
+        sample = smallest(texts, labelled, "i", "t").select("t", F.lit(0).alias("y"))
     got = sample.mapInArrow(_sampled, "votes array<int>, features array<int>, y int").toArrow()
     n = got.num_rows
     if not n:
@@ -176,7 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     listed = (bad >= 5) & (bad >= 50 * good)
     hits = np.bincount(row, listed[flat], n)
     matrix = np.column_stack([heur, np.where(hits > 0, 1, 0), y])
-    post, _ = maximise(matrix)
+    # of all documents the patterns of votes are counted: at most as many rows as there are patterns
+    words = np.zeros(1 << BITS, bool)
+    words[flat[listed[flat]]] = True
+    counts = texts.select("t").mapInArrow(_voted(words), "votes array<int>").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
+    patterns = np.array([[*v, 0] for v in counts["votes"]], np.int64).reshape(-1, matrix.shape[1])
+    times = counts["n"].to_numpy(float)
+    post, _ = maximise(np.concatenate([matrix, patterns]), np.concatenate([np.ones(n), times * weight / max(1.0, times.sum())]))
+    post = post[:n]
     telling = screen(flat, row, post)
     return train([f[telling[f]] for f in feats], post)
 
