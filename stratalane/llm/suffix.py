@@ -9,7 +9,9 @@ refinement in numpy, from 8 bytes on) and takes common prefixes by Kasai's walk.
 A minimizer of very many runs is split by the offset of the minimizer in its window, which equal windows share.
 
 Cases: null texts are empty; texts shorter than a window have none; a repeated row is a document of its
-own, so its windows do start elsewhere; windows are judged on the input and overlaps count.
+own, so its windows do start elsewhere; windows are judged on the input and overlaps count; null ids are ids like any
+other; very long texts are cut into slices that overlap by a window; an empty table gives no rows; ties don't arise, as
+every occurrence goes; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

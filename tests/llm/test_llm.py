@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalane.llm import bpe, decontaminate, licenses, line_dedup, pii, pretokens, quality, simhash, suffix, token_files, topk
 from stratalane.llm._graph import components, forest
@@ -52,12 +53,19 @@ def rows(df, *cols):
 
 
 def test_licenses(spark, empty):
-    mit = dict(licenses.KNOWN[1:2])["MIT"]
-    texts = [mit, "Copyright (c) 2020 Jane\n" + mit.upper().replace(".", " . "), mit.replace("License", "Licence"), mit[:-30], "text\n# Licensed under the MIT License.\nmore", None, "", "Copyright (c) 2001 A\n"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(df).collect()}
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("MIT License"))
+    wrapped = "\n".join(" ".join(mit.split()[k : k + 9]) for k in range(0, len(mit.split()), 9))
+    texts = [
+        mit, "Copyright (c) 2020 Jane\n" + mit.upper().replace(".", " . "), mit.replace("License", "Licence"), mit[:-30], "text\n# Licensed under the MIT License.\nmore", None, "", "Copyright (c) 2001 A\n",
+        "Copyright Jane Doe 2020\n" + mit, "Copyright Jane Doe\n" + mit, "Copyright by The Example Authors\r\nAll rights reserved.\r\n" + mit.replace("\n", "\r\n"), "© 1999 Someone\n" + wrapped, mit, mit,
+        "word " * 60000 + "\nSPDX-License-Identifier: MIT\n" + "word " * 60000, "// My own notice, 7.\nother", "Copyright notice of ours\n" + mit,
+    ]
+    df = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in enumerate(texts)], "doc_id long, text string, digest string, license string, _text string")
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(df, more=[("Own", "my own notice 7")]).collect()}
     assert [got[k][0] for k in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, None]
-    assert got[4][1] == "MIT" and got[5][1] == ""
+    assert [got[k][0] for k in range(8, 17)] == ["MIT"] * 6 + [None] * 3
+    assert got[4][1] == "MIT" and got[5][1] == "" and got[14][1] == "MIT" and got[15][1] == "Own"
+    assert licenses.scan(df).columns == ["doc_id", "digest", "license", "notices"]
     assert licenses.scan(empty).count() == 0
 
 
@@ -123,6 +131,19 @@ def test_large_buckets_are_tiled(spark, monkeypatch):
     assert {k: got.get(k, k) for k in comp} == comp
 
 
+def test_tile_pairs_of_far_counts_are_not_formed(spark):
+    rng = np.random.default_rng(6)
+    x = np.unique((rng.integers(0, 2**50, 400, dtype=np.uint64) & rng.integers(0, 2**50, 400, dtype=np.uint64)) | (np.uint64(5) << np.uint64(51)))  # one bucket of the last band
+    nodes = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    entries = simhash.bands(nodes, 4).where(f"band = 4 and value = {int(x[0]) >> 51}")
+    pairs = simhash.tiles(entries, 4, 16).select("ta", "tb").distinct().collect()
+    counts = {int(v).bit_count() for v in x}
+    tiles = {r.ta for r in pairs} | {r.tb for r in pairs}
+    assert {t >> 20 for t in tiles} == counts and max(counts) - min(counts) > 8
+    assert all(abs((r.ta >> 20) - (r.tb >> 20)) <= 4 for r in pairs)
+    assert 0 < len(pairs) < len(tiles) * (len(tiles) + 1) // 2  # pairs were skipped
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + k, 501 + k) for k in range(40)]
@@ -160,9 +181,9 @@ def test_topk(spark, monkeypatch, block):
     v += [(200 + k, v[4][1]) for k in range(30)] + [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [1.0, 2.0]), (None, v[0][1]), (304, []), v[9], v[9], (350, [1e30] * 8), (400, v[4][1])]
     df = spark.createDataFrame([(i, x, 0) for i, x in v], "vec_id long, embedding array<double>, score int").repartition(4)
     got = rows(topk.search(df.where("vec_id % 50 = 0"), df, k=5), "query_id", "rank", "vec_id", "score")
-    clean = {(i, tuple(min(2**63 - 1, max(-(2**63), int(np.floor(256 * c)))) for c in x)) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
+    clean = [(i, tuple(min(2**63 - 1, max(-(2**63), int(np.floor(256 * c)))) for c in x)) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     want = []
-    for i, q in clean:
+    for i, q in set(clean):
         if i % 50 == 0:
             s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c)))), j) for j, c in clean if j != i and len(c) == len(q))
             want += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s[:5])]
@@ -170,6 +191,23 @@ def test_topk(spark, monkeypatch, block):
     assert topk.search(df.where("false"), df).count() == 0 and topk.search(df, df.where("false")).count() == 0
 
 
+def test_topk_resolves_few_scores():
+    rng = np.random.default_rng(3)
+    c = rng.integers(-200, 200, (4000, 32))
+    c[:, :16] *= 8
+    q = c[:20]
+    qid, ids, cuts = np.arange(20), np.arange(4000), [0, 16, 32]
+    full = np.where(qid[:, None] == ids[None, :], -(10**9), q @ c.T)
+    cutoff = np.sort(full, 1)[:, -5].astype(float)
+    lists = [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:])]
+    lows, highs = (np.stack([f(p, 1) for p in lists], 1).astype(float) for f in (np.min, np.max))
+    share = lows + np.floor((cutoff - lows.sum(1)) / 2)[:, None]
+    counts = topk.Counts()
+    a, b, total = topk.resolve(q, qid, c, ids, cutoff, share, highs, cuts, counts)
+    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(int(x), int(y)) for x, y in zip(*np.nonzero(full >= cutoff[:, None]))}
+    assert (total == full[a, b]).all() and counts.made < 0.6 * counts.all
+
+
 # --- op 4 and 5
 
 
@@ -218,6 +256,16 @@ def test_token_files(spark, docs, empty):
     ids, mask = f[0]
     assert len(ids) == len(mask) == 16 and mask.sum() == min(16, f.n_ids) and ids.dtype == np.uint16
     assert token_files.write(empty, encoder).count() == 0
+    named = docs.selectExpr("concat('doc-', lpad(cast(doc_id as string), 6, '0')) as doc_id", "text")
+    manifest = token_files.write(named, encoder, sequence=16)
+    ordered = sorted(((i is not None, b"" if i is None else b"doc-%06d" % i, (t or "").encode()) for i, t in corpus()))
+    starts, at = [], 0
+    for z, i, t in ordered:
+        n = len(encoder.text(t.decode())) + 1
+        starts.append((i.decode() if z else None, at, n))
+        at += n
+    assert rows(manifest, "doc_id", "start", "n_tokens") == sorted(starts, key=repr)
+    assert token_files._filesystem("file:///tmp")[1] == "/tmp"
 
 
 def test_near_dedup_links_by_exact_similarity(spark):
@@ -337,6 +385,32 @@ def test_decontamination(spark, docs, empty):
     assert "c" in {r.item_id for r in near.collect()}
 
 
+def test_proximity(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"t{rng.randrange(12)}" if rng.random() < 0.2 else f"x{rng.randrange(900)}" for _ in range(rng.randrange(5, 160))) for _ in range(40)] + [None, "", "t1 t2 t3", "t3 t2 t1 t1"]
+    items = [("p", "t1 t2 t3"), ("q", "t4 t5"), ("r", "t6"), ("s", "t7 t8 nowhere"), ("u", "t9 t9 t10 t11")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontaminate.items_of(spark.createDataFrame(items, "item_id string, text string"), 13, "item_id", "text")
+    for terms, span in ((3, 7), (2, 20), (3, 50)):
+        posted = collections.Counter(w for t in texts for w in (t or "").split())
+        want = set()
+        for name, text in items:
+            order = list(dict.fromkeys(text.split()))
+            rare = sorted(((min(posted[w], 10**9), w) for w in order if posted[w]))[:terms]
+            if len(rare) < min(terms, len(order)):
+                continue
+            rare = {w for _, w in rare}
+            for i, t in enumerate(texts):
+                w = (t or "").split()
+                for end, x in enumerate(w):
+                    if x in rare:
+                        last = [max((p for p in range(end + 1) if w[p] == y), default=-1) for y in rare]
+                        if min(last) >= 0 and end - min(last) < span:
+                            want.add((i, name, min(last), end))
+        got = {(r.kid, r.item_id, r.start, r.end) for r in decontaminate.proximity(decontaminate.index(docs, found), found, terms, span).collect()}
+        assert got == want and want
+
+
 # --- op 8
 
 
@@ -379,6 +453,32 @@ def test_pii(spark, empty):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def test_pii_long_regions_and_spans(spark):
+    rng = random.Random(8)
+    long = "," .join(f"k{k}=v{k}" for k in range(400)) + ",415-555-2671," + ",".join(f"k{k}=v{k}" for k in range(400))
+    texts = [f"call +1 (415) 555-{k:04d} or mail a{k}@b{k}.org now" for k in range(200)] + [long, long, "x" * 200000 + " 10.0.0.1"]
+    assert max(t[-1][1] - t[0][0] for t in pii.regions(long)) == len(long)  # a region reaches to white space, however far
+    model = pii.train(texts[:200])
+    df = spark.createDataFrame([(k, t, "c", "c") for k, t in enumerate(texts)], "doc_id long, text string, base string, spans string")
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(df, model)).collect()}
+    for k, t in enumerate(texts):  # the field's spans against all segmentations' best, region by region
+        known = brute(t)
+        more = []
+        for tokens in pii.regions(t):
+            segs, out = pii._scored(model, t, tokens)
+            value = {0: (0.0, [])}
+            for j in range(1, len(tokens) + 1):
+                options = [(value[j - 1][0] + out[j - 1], value[j - 1][1])] + [(value[s[0]][0] + s[4], [*value[s[0]][1], n]) for n, s in enumerate(segs) if s[1] == j]
+                value[j] = max(options, key=lambda o: o[0])
+            _, p, _ = pii.marginals(segs, out) if segs else (0, [], 0)
+            for n in value[len(tokens)][1]:
+                a, b = tokens[segs[n][0]][0], tokens[segs[n][1] - 1][1]
+                if p[n] >= 0.9 and not any(a < y and x < b for _, x, y in known):
+                    more.append((segs[n][2], a, b))
+        want = sorted(known + more, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+        assert got[k] == ",".join(f"{a}:{b}:{c}" for a, b, c in want), k
+
+
 def test_semi_markov_is_exact():
     segs = [(0, 1, "a", [], 0.5), (0, 2, "b", [], 1.7), (1, 3, "a", [], 0.9), (2, 3, "b", [], -0.2)]
     out = [0.1, 0.3, -0.4]
@@ -424,6 +524,33 @@ def test_quality(spark, empty):
     assert len(quality.fit(docs, None)) == len(w)
 
 
+def test_measures_are_alike_at_every_length():
+    for letters in ("СТОП ", "STOP ", "ÉÀ日本 "):
+        caps = {quality.measures(letters * k)["capitals"] for k in (39, 40, 41, 400, 4000)}
+        assert len(caps) == 1 and (max(caps) == 1.0 or letters[-3] == "日" or max(caps) == 0.5)
+    for n in (199, 200, 201):
+        assert quality.measures(("Абв" * n)[:n])["capitals"] == pytest.approx(1 / 3, abs=0.01)
+
+
+def test_quality_cases(spark):
+    texts = [None, "", "same text", "same text", "word " * 100000, "СТОП " * 50]
+    docs = spark.createDataFrame([(k, t, 0.5, "c") for k, t in enumerate(texts)] + [(None, "x", 0.1, "c")], "doc_id long, text string, score double, row string")
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 1), (4, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    w = quality.fit(docs, labels)
+    got = {r.row.doc_id: r.score for r in quality.score(docs, w).collect()}
+    assert got[2] == got[3] and len(got) == 7 and quality.clean(docs, labels).columns == docs.columns
+    assert quality.smallest(docs.where("doc_id is not null"), 3, "doc_id").count() == 3
+
+
+def test_counts_stand_for_rows():
+    rng = np.random.default_rng(1)
+    v = rng.integers(-1, 2, (500, 4))
+    u, n = np.unique(v, axis=0, return_counts=True)
+    a, ta = quality.maximise(v)
+    b, tb = quality.maximise(u, n.astype(float))
+    assert np.allclose(ta, tb, atol=1e-6)
+
+
 def test_label_model():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.3
@@ -527,6 +654,46 @@ def test_pipeline(spark, tmp_path):
     assert rows(docs, "doc_id", "ids_sha256") == rows(corpus_pipeline.run(spark, sf), "doc_id", "ids_sha256") and docs.count() > 100
 
 
+def test_pipeline_cases(spark, empty):
+    """Nulls, repeats, ties, clashing and extra columns, and empty tables through every stage but the first, which learns."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (None, "a b"), (7, None), (7, ""), (8, "same text here"), (8, "same text here"), (9, "x " * 30000)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text", *(F.lit("c").alias(c) for c in ("row", "_i", "_h", "h", "id", "key", "th", "kid", "root", "node")))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, sf)
+        none = stage(spark, docs.where("false"), sf)
+        assert none.count() == 0 and none.columns == out.columns
+        n = out.count()
+        assert out.columns == docs.columns if name != corpus_pipeline.STAGES[-1][0] else n == docs.count()
+        assert n >= 4 and out.where("doc_id = 9").count() == 1
+    assert base.columns == corpus_pipeline.classify(spark, base, sf).columns
+
+
+def test_near_stage_recall(spark):
+    """The near-dedup stage against all pairs by brute force on texts of one vocabulary: every pair of 0.8 or more is in one group."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    texts = []
+    for _ in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(12, 400))]
+        texts.append(" ".join(w))
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.randrange(1, 2 + len(w) // 40)):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(x))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = union(pairs, range(len(sets)))
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "").collect()}
+    want = {min(k for k in comp if comp[k] == root) for root in set(comp.values())}
+    assert len(pairs) > 40 and kept == want
+
+
 def test_copies_through_both_dedups(spark):
     import corpus_pipeline
 
