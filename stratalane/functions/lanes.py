@@ -32,6 +32,12 @@ def wrap_add(a: Column, b: Column) -> Column:
     return _join(high(a) + high(b) + F.shiftright(lo, 32), lo)
 
 
+def wrap_sum(x: Column, window) -> Column:
+    """Running sum modulo 2**64 over a window of under 2**31 rows, in 32-bit halves."""
+    lo, hi = F.sum(low(x)).over(window), F.sum(high(x)).over(window)
+    return _join(low(hi + F.shiftrightunsigned(lo, 32)), lo)
+
+
 def flip(x: Column) -> Column:
     """Maps unsigned order to signed order, and back."""
     return x.bitwiseXOR(F.lit(_TOP).cast("long"))
