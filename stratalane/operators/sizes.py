@@ -241,7 +241,7 @@ def measure(rows: DataFrame, level: str) -> DataFrame:
         entries = [F.filter(F.array(*entries), lambda e: e.isNotNull())]
     else:
         entries = [F.array(main)]
-    x = x.select(*KEY, F.inline(entries[0]))
+    x = x.select(*KEY, F.inline_outer(entries[0]))
     scales = range(len(SCALES)) if fast else ()
     s = x.groupBy(*KEY, "family", "slot").agg(
         F.count("*").alias("m"), *_least(F.col("key"), "key"), *_least(F.col("zkey"), "zkey"), *_least(F.col("move"), "move"), *_least(F.col("probed"), "probed"), F.max("zprobed").alias("zprobed"),
@@ -278,11 +278,11 @@ def measure(rows: DataFrame, level: str) -> DataFrame:
     return b.select(*KEY, "n", F.coalesce(noise, F.lit(False)).alias("noise"), *out)
 
 
-# --- ALP and ALP_RD: blocks as arrays
+# --- ALP and ALP_RD: blocks as arrays. Arrays are opened by outer generators, which infer no filters that repeat them.
 
 
 def _bind(x: Column, f) -> Column:
-    """f(x) with x evaluated once."""
+    """f(x) with x evaluated once, also where the optimizer merges projections: a lambda's argument isn't copied into its body."""
     return F.transform(F.array(x), f)[0]
 
 
@@ -329,7 +329,7 @@ def alp_stretches(rows: DataFrame) -> DataFrame:
 
 def alp_rows(rows: DataFrame) -> DataFrame:
     """Every double with its stretch's exponent and factor and its digit, null for an exception."""
-    x = alp_blocks(rows).select(*KEY, "e", "f", F.inline(F.arrays_zip("a", "d")))
+    x = alp_blocks(rows).select(*KEY, "e", "f", F.inline_outer(F.arrays_zip("a", "d")))
     return x.select(*KEY, "e", "f", "a.i", "a.lane", "a.value", F.col("d").alias("digit"))
 
 
@@ -378,10 +378,11 @@ def alp_rd_cuts(rows: DataFrame) -> DataFrame:
 def alp_rd_codes(rows: DataFrame) -> DataFrame:
     """Adds the block's dictionary `top` and each value's code, -1 for an exception."""
     cuts = alp_rd_cuts(rows)
-    left = F.transform("a", lambda x: F.call_function("shiftrightunsigned", x, 64 - F.col("cut")))
+    left = _bind(F.col("cut"), lambda cut: F.transform("a", lambda x: F.call_function("shiftrightunsigned", x, 64 - cut)))
     cuts = cuts.withColumn("left", left)
     cuts = cuts.withColumn("top", F.transform(_top(F.col("left")), lambda t: t["v"]))
-    return cuts.withColumn("codes", F.transform("left", lambda x: F.array_position("top", x).cast("int") - 1)).drop("left")
+    codes = _bind(F.col("top"), lambda top: F.transform("left", lambda x: F.array_position(top, x).cast("int") - 1))
+    return cuts.withColumn("codes", codes).drop("left")
 
 
 def _array_stretches(x: Column, n: Column) -> Column:
@@ -395,17 +396,19 @@ def alp_rd(rows: DataFrame) -> DataFrame:
     """Size of ALP_RD by block: null where the cut saves nothing or over a quarter of the values are exceptions."""
     b = alp_rd_codes(rows)
     n = F.col("n")
-    bad = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get("codes", k) < 0)
+    bad = _bind(F.col("codes"), lambda c: F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(c, k) < 0))
     b = b.withColumn("bad", bad)
-    codes = F.transform("codes", lambda c: F.greatest(c, F.lit(0)))
-    right = F.transform("a", lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), 64 - F.col("cut")) - F.lit(1)))
+    b = b.withColumn("codes0", F.transform("codes", lambda c: F.greatest(c, F.lit(0))))
+    right = _bind(F.col("cut"), lambda cut: F.transform("a", lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), 64 - cut) - F.lit(1))))
     head = lambda c: _long(varint_len(_long(c)))
-    c = head(n) + _array_stretches(codes, n)
-    r = head(n) + _array_stretches(right, n)
+    c = head(n) + _bind(F.col("codes0"), lambda x: _array_stretches(x, n))
+    r = head(n) + _bind(right, lambda x: _array_stretches(x, n))
     where = F.aggregate("bad", F.lit(0).cast("long"), lambda acc, k: acc + head(k) + 8)
     b = b.select(*KEY, "n", "cost", F.size("bad").alias("e"), F.size("top").alias("d"), where.alias("where"), c.alias("c"), r.alias("r"))
     size = 2 + 8 * F.col("d") + head(F.col("e")) + F.col("where") + 1 + head(F.col("c")) + F.col("c") + 1 + F.col("r")
-    return b.select(*KEY, F.when((F.col("cost") < 63) & (4 * F.col("e") <= F.col("n")), size).alias("ALP_RD"))
+    fits = F.when((F.col("cost") < 63) & (4 * F.col("e") <= F.col("n")), size)
+    # a row per block already: the aggregate keeps filters on the size from being pushed into the arrays' lambdas
+    return b.groupBy(*KEY).agg(F.first(fits).alias("ALP_RD"))
 
 
 def sized(rows: DataFrame, level: str) -> DataFrame:
@@ -431,7 +434,7 @@ def _gated(entries: Column) -> Column:
 
 def candidates(rows: DataFrame, level: str) -> DataFrame:
     """(col, kind, block, n, seq, mode, weight, payload, score): what is tried at levels fastest and fast."""
-    return sized(rows, level).select(*KEY, "n", F.inline(_entries(level)))
+    return sized(rows, level).select(*KEY, "n", F.inline_outer(_entries(level)))
 
 
 def winners(rows: DataFrame, level: str) -> DataFrame:
@@ -443,7 +446,7 @@ def winners(rows: DataFrame, level: str) -> DataFrame:
 def runners_up(rows: DataFrame, level: str, k: int = 2) -> DataFrame:
     """The k best candidates of each block with their rank, by the rules of winners()."""
     top = F.slice(F.sort_array(_gated(F.col("entries"))), 1, k)
-    out = sized(rows, level).select(*KEY, "n", _entries(level).alias("entries")).select(*KEY, "n", F.posexplode(top).alias("rank", "b"))
+    out = sized(rows, level).select(*KEY, "n", _entries(level).alias("entries")).select(*KEY, "n", F.posexplode_outer(top).alias("rank", "b"))
     return out.select(*KEY, "b.mode", "b.payload", "b.score", (F.col("rank") + 1).alias("rank"))
 
 

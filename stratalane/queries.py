@@ -525,14 +525,14 @@ def alp_rd_cut(spark, sf):
 def alp_rd_dict(spark, sf):
     """The eight most frequent left parts of a block at its cut, by count, then value."""
     x = sizes.alp_rd_codes(_thirds(spark, sf))
-    return x.select("col", "block", F.posexplode("top").alias("code", "l")).withColumn("code", F.col("code").cast("long"))
+    return x.select("col", "block", F.posexplode_outer("top").alias("code", "l")).withColumn("code", F.col("code").cast("long"))
 
 
 @query(sql([_THIRDS, SQL_RD], "SELECT col, pos, l::BIGINT AS l FROM rd_codes WHERE miss"))
 def alp_rd_exceptions(spark, sf):
     """Left parts that miss the dictionary, with their positions."""
     x = sizes.alp_rd_codes(_thirds(spark, sf))
-    x = x.select("col", "block", "cut", F.posexplode(F.arrays_zip("a", "codes")).alias("i", "e")).where("e.codes < 0")
+    x = x.select("col", "block", "cut", F.posexplode_outer(F.arrays_zip("a", "codes")).alias("i", "e")).where("e.codes < 0")
     return x.select("col", (F.col("block") * SIZE + F.col("i")).alias("pos"), F.call_function("shiftrightunsigned", F.col("e.a"), 64 - F.col("cut")).alias("l"))
 
 
@@ -541,7 +541,7 @@ JOIN (SELECT col, block, sum(c * log2(m::DOUBLE / c)) AS o1 FROM (SELECT *, sum(
 def cascade_lab(spark, sf):
     """What entropy coding would make of the codes of left parts: bytes of order 0 and of order 1, by block."""
     x = sizes.alp_rd_codes(_thirds(spark, sf))
-    x = x.select("col", "block", "n", F.posexplode(F.transform("codes", lambda c: F.greatest(c, F.lit(0)))).alias("i", "code"))
+    x = x.select("col", "block", "n", F.posexplode_outer(F.transform("codes", lambda c: F.greatest(c, F.lit(0)))).alias("i", "code"))
     x = x.withColumn("a", F.lag("code", 1, 0).over(Window.partitionBy("col", "block").orderBy("i")))
     c = x.groupBy("col", "block", "n", "a", "code").agg(F.count("*").alias("c"))
     c = c.withColumn("m", F.sum("c").over(Window.partitionBy("col", "block", "a"))).withColumn("c0", F.sum("c").over(Window.partitionBy("col", "block", "code")))
