@@ -372,8 +372,8 @@ _DIFFS = {1: "v - l1", 2: "(v - l1) - (l1 - l2)", 3: "((v - l1) - (l1 - l2)) - (
 _LAGS = ", ".join(f"lag(value, {k}) OVER {WIN} AS l{k}" for k in range(1, 5))
 #: A window of up to 1024 values in the middle of a block, and the order with the smallest mean difference there; blocks under 8 have 2.
 SQL_ORDER = f"""lagged AS (SELECT *, value AS v, {_LAGS}, count(*) OVER (PARTITION BY {K}) AS n FROM rows),
-means AS (SELECT {K}, any_value(n) AS n, {', '.join(f"avg(CASE WHEN at >= {k} AND at < least(n, 1024) THEN abs({d}) END) AS m{k}" for k, d in _DIFFS.items())}
-  FROM (SELECT *, i - (n - least(n, 1024)) // 2 AS at FROM lagged) GROUP BY {K}),
+means AS (SELECT {K}, any_value(n) AS n, {', '.join(f"avg(CASE WHEN place >= {k} AND place < least(n, 1024) THEN abs({d}) END) AS m{k}" for k, d in _DIFFS.items())}
+  FROM (SELECT *, i - (n - least(n, 1024)) // 2 AS place FROM lagged) GROUP BY {K}),
 orders_of AS (SELECT {K}, CASE WHEN n < 8 THEN 2 WHEN m1 <= m2 AND m1 <= m3 AND m1 <= m4 THEN 1 WHEN m2 <= m3 AND m2 <= m4 THEN 2 WHEN m3 <= m4 THEN 3 ELSE 4 END AS o FROM means)"""
 
 
@@ -416,8 +416,8 @@ _BITS = f"(({_PREDICTED})::BIT)::BIGINT"
 @query(sql([sql_rows(ints=False, floats=True), SQL_ORDER], f"SELECT col, block, (1 + sum({vl(u('xor(lane, ' + _BITS + ')'))}))::BIGINT AS bytes FROM lagged JOIN orders_of USING ({K}) GROUP BY col, block"))
 def size_delta2(spark, sf):
     """Residual bytes of extrapolation by exclusive or."""
-    x = _ordered(spark, sf).withColumn("p", F.expr(_extrapolated("o", "i")))
-    return x.groupBy("col", "block").agg((1 + F.sum(L.varint_len(F.col("lane").bitwiseXOR(L.double_bits(F.col("p")))).cast("long"))).alias("bytes"))
+    x = _ordered(spark, sf).withColumn("p", L.double_bits(F.expr(_extrapolated("o", "i"))))
+    return x.groupBy("col", "block").agg((1 + F.sum(L.varint_len(F.col("lane").bitwiseXOR(F.col("p"))).cast("long"))).alias("bytes"))
 
 
 @query(sql([sql_rows(ints=False, floats=True), SQL_ORDER, f"res AS (SELECT *, v - p AS r, p + (v - p) = v AS same FROM (SELECT *, {_PREDICTED} AS p FROM lagged JOIN orders_of USING ({K})))"], f"SELECT col, block, bool_and(same) AS exact, (1 + sum({vl(u('xor(bits, coalesce(prev, 0))'))}))::BIGINT AS bytes FROM (SELECT *, (r::BIT)::BIGINT AS bits, lag((r::BIT)::BIGINT) OVER {WIN} AS prev FROM res) GROUP BY col, block"))
@@ -560,13 +560,13 @@ def byte_planes(spark, sf):
     return x.select("col", "block", F.inline(planes)).groupBy("col", "block", "plane").agg(F.count_distinct("b").alias("distinct_bytes"), F.sum("b").alias("total"))
 
 
-_BYTES = f"b AS (SELECT col, block, (({u('lane')} // (1::HUGEINT << (8 * k))) % 256)::BIGINT AS b, 8 * i + k AS at FROM rows, range(0, 8) t(k))"
+_BYTES = f"b AS (SELECT col, block, (({u('lane')} // (1::HUGEINT << (8 * k))) % 256)::BIGINT AS b, 8 * i + k AS place FROM rows, range(0, 8) t(k))"
 
 
 @query(
     sql(
         [sql_rows(("orders",), floats=True), _BYTES],
-        "SELECT col, block, CASE WHEN sum(c) < 64 THEN sum(c)::DOUBLE ELSE round(sum(c * log2(m::DOUBLE / c)) / 8, 4) END AS bytes FROM (SELECT *, sum(c) OVER (PARTITION BY col, block, a) AS m FROM (SELECT col, block, a, b, count(*) AS c FROM (SELECT col, block, b, lag(b, 1, 0) OVER (PARTITION BY col, block ORDER BY at) AS a FROM b) GROUP BY col, block, a, b)) GROUP BY col, block",
+        "SELECT col, block, CASE WHEN sum(c) < 64 THEN sum(c)::DOUBLE ELSE round(sum(c * log2(m::DOUBLE / c)) / 8, 4) END AS bytes FROM (SELECT *, sum(c) OVER (PARTITION BY col, block, a) AS m FROM (SELECT col, block, a, b, count(*) AS c FROM (SELECT col, block, b, lag(b, 1, 0) OVER (PARTITION BY col, block ORDER BY place) AS a FROM b) GROUP BY col, block, a, b)) GROUP BY col, block",
     )
 )
 def order1_entropy(spark, sf):
@@ -756,7 +756,7 @@ def value_cap(spark, sf):
 
 @query(sql([*_fast("fast", True), SQL_WIN], "SELECT mode, count(*) AS blocks, sum(payload)::BIGINT AS bytes FROM best GROUP BY mode"))
 def win_histogram(spark, sf):
-    best = sizes.winners(sizes.candidates(_fast_rows(spark, sf, "fast"), "fast"))
+    best = sizes.winners(_fast_rows(spark, sf, "fast"), "fast")
     return best.groupBy("mode").agg(F.count("*").alias("blocks"), F.sum("payload").alias("bytes"))
 
 
