@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -32,27 +33,39 @@ def main() -> None:
     from stratalane.operators import frames
     from stratalane.plans import blocks
 
+    trials = int(os.environ.get("BENCH_TRIALS", "1"))
+
+    def timed(work) -> float:
+        """Median of the trials."""
+        took = []
+        for _ in range(trials):
+            began = time.time()
+            work()
+            took.append(time.time() - began)
+        return statistics.median(took)
+
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
     seconds = {}
-    queries.QUERIES["size_raw"](spark, SF).write.format("noop").mode("overwrite").save()  # starts the workers
+    noop(queries.QUERIES["roundtrip_raw"](spark, SF))  # starts the workers
     for name in NAMES:
-        began = time.time()
-        queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - began, 3)
-    # ratio and speed of a table of ten numeric columns, both ways
+        seconds[name] = round(timed(lambda: noop(queries.QUERIES[name](spark, SF))), 3)
+    # ratio and speed of a table of ten numeric columns, both ways, with its types
     t = spark.read.parquet(f"{SF}/lineitem.parquet").drop("l_returnflag", "l_linestatus")
-    t = blocks.number(t, t.columns).persist()
-    cols = [c for c in t.columns if c != "pos"]
+    rows = t.count()
+    schema, cols = t.schema, t.columns
+    t = blocks.number(t, cols)
+    assert t.count() == rows == t.select("pos").distinct().count(), "numbering lost rows"
     widths = dict(t.dtypes)
-    raw = t.count() * sum(blocks.LANES[widths[c]][1] for c in cols)
+    raw = rows * sum(blocks.LANES[widths[c]][1] for c in cols)
     codec = {}
     for level in ("fastest", "fast", "balanced", "max"):
         began = time.time()
         got = frames.encode(t, cols, Config(level)).persist()
         size = got.agg(F.sum(F.length("payload") + 9)).first()[0] + 16 * len(cols)
         enc = time.time() - began
-        began = time.time()
-        frames.decode(got).write.format("noop").mode("overwrite").save()
-        dec = time.time() - began
+        back = frames.restore(got, schema)
+        dec = timed(lambda: noop(back))
+        assert back.count() == rows, "decoding lost rows"
         codec[level] = {"ratio": round(raw / size, 3), "enc_mb_s": round(raw / 1e6 / enc, 1), "dec_mb_s": round(raw / 1e6 / dec, 1)}
         seconds[f"lineitem_{level}"] = round(enc + dec, 3)
         got.unpersist()
