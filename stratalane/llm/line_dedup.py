@@ -160,7 +160,8 @@ def dedup(docs: DataFrame, divisor: int = 3, id_col: str = "doc_id", text_col: s
     gone = repeats(docs, divisor, passages, id_col, text_col)
     listed = gone.groupBy(F.col("id").alias("_i"), F.col("h").alias("_h")).agg(F.collect_list("no").alias("_gone"))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(text_col)).alias("h"))
-    rows = rows.join(listed, F.col("row")[id_col].eqNullSafe(listed["_i"]) & (rows["h"] == listed["_h"]), "left")
+    # always by shuffle: a list that is small today is broadcast, and the plan would change with the corpus
+    rows = rows.join(listed.hint("merge"), F.col("row")[id_col].eqNullSafe(listed["_i"]) & (rows["h"] == listed["_h"]), "left")
     rows = rows.select("row", _cut(divisor, passages)(F.col("row")[text_col].cast("string"), F.col("_gone")).alias("cut"))
     return rows.select(F.col("row").withField(text_col, F.col("cut.text")).alias("row"), "cut")
 

@@ -415,11 +415,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words
     maybe = stash(components(maybe), "candidates")
     asked = stash(nodes.join(maybe, "node").select("root", "node", "size", F.col("least.i").alias("_i"), F.col("least.h").alias("_h")), "asked")
     texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
-    found = texts.join(asked, texts["i"].eqNullSafe(asked["_i"]) & (texts["h"] == asked["_h"])).select("root", "node", "size", "t")
+    # texts meet what is asked of them by shuffles at every size
+    found = texts.join(asked.hint("merge"), texts["i"].eqNullSafe(asked["_i"]) & (texts["h"] == asked["_h"])).select("root", "node", "size", "t")
     comp = stash(components(exact_links(found, shingle, similarity)), "components")
     rooted = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     names = stash(rooted.join(best, "root").select("node", "best"), "names")
     drop = prints.join(names, "node").where(~F.col("id.i").eqNullSafe(F.col("best")["i"]) | (F.col("id.h") != F.col("best")["h"]))
     drop = stash(drop.select(F.col("id.i").alias("_i"), F.col("id.h").alias("_h")).distinct(), "drop")
-    return docs.join(drop, F.col(id_col).eqNullSafe(drop["_i"]) & (F.xxhash64(F.col(text_col)) == drop["_h"]), "left_anti")
+    return docs.join(drop.hint("merge"), F.col(id_col).eqNullSafe(drop["_i"]) & (F.xxhash64(F.col(text_col)) == drop["_h"]), "left_anti")
