@@ -20,6 +20,7 @@ rows that repeat get equal scores; other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -61,17 +62,41 @@ def measures(text: str) -> dict[str, float]:
     }
 
 
-def features(text: str, m: dict[str, float], words: set[str]) -> np.ndarray:
-    """Hashed features that the text has."""
+#: Hashed features of words that were met, of so many words at most.
+_KNOWN: dict[str, tuple[int, ...]] = {}
+_KNOWN_MOST = 500_000
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    """A word's hashed features, the word's own first: itself and its beginnings of four and five letters."""
+    got = _KNOWN.get(word)
+    if got is None:
+        names = [f"w{word}"] + [f"p{word[:4]}"] * (len(word) > 4) + [f"q{word[:5]}"] * (len(word) > 5)
+        got = tuple(hashed(x) for x in names)
+        if len(_KNOWN) >= _KNOWN_MOST:
+            _KNOWN.clear()
+        _KNOWN[word] = got
+    return got
+
+
+def hashed(name: str) -> int:
     from xxhash import xxh32_intdigest as h
 
-    names = {f"w{x}" for x in words}
-    names |= {f"p{x[:4]}" for x in words if len(x) > 4} | {f"q{x[:5]}" for x in words if len(x) > 5}
+    return h(name.encode()) & ((1 << BITS) - 1)
+
+
+def features(text: str, m: dict[str, float], words: set[str]) -> np.ndarray:
+    """Hashed features that the text has, in order."""
+    found = {i for x in words for i in word_features(x)}
     for k, v in m.items():
         bucket = int(min(1.0, v) * 20)
-        names |= {f"m{k}>{b}" for b in range(1, bucket + 1)} | {f"m{k}={bucket}"}
-    mask = (1 << BITS) - 1
-    return np.fromiter((h(x.encode()) & mask for x in names), np.int32, len(names))
+        found.update(_measure_features(k, bucket))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
+
+
+@functools.cache
+def _measure_features(name: str, bucket: int) -> tuple[int, ...]:
+    return tuple(hashed(x) for x in [f"m{name}={bucket}", *(f"m{name}>{b}" for b in range(1, bucket + 1))])
 
 
 def votes(m: dict[str, float], words: set[str]) -> list[int]:
@@ -158,15 +183,12 @@ def _voted(listed: np.ndarray):
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh32_intdigest as h
-
-        mask = (1 << BITS) - 1
         bad = set(np.flatnonzero(listed).tolist())
         for batch in trimmed(batches):
             out = []
             for t in batch.column(0).to_pylist():
                 m, words = _look(t or "")
-                hit = bool(bad) and any(h(f"w{x}".encode()) & mask in bad for x in words)
+                hit = bool(bad) and any(word_features(x)[0] in bad for x in words)
                 out.append([*votes(m, words), int(hit)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["votes"])
 
