@@ -12,6 +12,9 @@ ids one. The counts of all documents weigh as `weight` rows together, whatever t
 model is alike at every size. Without labels the sample is `labelled` rows of the documents, on their posteriors.
 The model is one array of 2**BITS floats, so its broadcast has a fixed size.
 
+Both passes over all documents look up a text's distinct words by set differences, and go on only with those that can change
+a vote or the score (`Telling`).
+
 Cases: a null or empty text has no words and is rejected by the scorer's measures like any text; very long texts
 are read whole, by the same measures as short ones; without labels the heuristics decide alone; without documents
 nothing is trained and nothing returned; null labels don't vote; of several labels of an id a rejecting one counts;
@@ -21,9 +24,11 @@ rows that repeat get equal scores; other columns are kept, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import re
-from collections import Counter
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,29 +42,82 @@ LABELLED, WEIGHT = 10000, 2000
 #: Words that insult.
 INSULTS = {"loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid"}
 LABELLERS = ["repeats", "capitals", "symbols", "bangs", "pipes", "lines", "insults", "prose", "listed", "curated"]
-_WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[*%$#&^~@=+]{2,}")
+#: Bytes that aren't ASCII letters, capitals, symbols.
+_NO_LETTER, _NO_CAPITAL = (bytes(x for x in range(256) if not (x < 128 and f(chr(x)))) for f in (str.isalpha, str.isupper))
+_NO_SYMBOL = bytes(x for x in range(256) if x not in b"*%$#&^~@=+")
 
 
-def measures(text: str) -> dict[str, float]:
-    words = text.split()
-    n = max(1, len(words))
-    letters = upper = 0
-    for c, times in Counter(text).items():
-        if c.isalpha():
-            letters += times
-            upper += times * c.isupper()
-    lines = [x for x in text.split("\n") if x.strip()]
+#: Of ASCII text letters in lower case, white space for all else.
+_LETTERS = bytes(ord(chr(x).lower()) if x < 128 and chr(x).isalpha() else 32 for x in range(256))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 for a letter, 2 if in upper case too, 4 if it can stand in a word."""
+    chars = map(chr, range(sys.maxunicode + 1))
+    return np.fromiter((c.isalnum() and c.isalpha() * (1 + 2 * c.isupper()) + 4 * (not c.isdecimal()) for c in chars), np.uint8, sys.maxunicode + 1)
+
+
+def _letters(text: str, raw: bytes) -> tuple[int, int, set[str]]:
+    """Letters of a text, those in upper case, and its distinct words, [^\\W\\d_]+, in lower case. raw: the text in UTF-8."""
+    if text.isascii():
+        return len(raw.translate(None, _NO_LETTER)), len(raw.translate(None, _NO_CAPITAL)), set(raw.translate(_LETTERS).decode().split())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = _kinds()[codes]
+    words = np.where(kinds > 3, codes, np.uint32(32)).tobytes().decode("utf-32-le").split()
+    return int(np.count_nonzero(kinds & 1)), int(np.count_nonzero(kinds & 2)), set(map(str.lower, set(words)))
+
+
+def look(text: str) -> tuple[dict[str, float], set[str]]:
+    """Measures of a text, and its distinct words in lower case."""
+    parts = text.split()
+    n = max(1, len(parts))
+    raw = text.encode("utf-8", "surrogatepass")
+    letters, upper, words = _letters(text, raw)
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
     return {
-        "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "repeats": sum(map(operator.eq, parts, parts[1:])) / n,
         "capitals": upper / max(1, letters),
-        "symbols": len(_SYMBOLS.findall(text)) / n,
+        "symbols": (len(_SYMBOLS.findall(text)) if len(raw.translate(None, _NO_SYMBOL)) > 1 else 0) / n,
         "bangs": text.count("!!") / n,
         "pipes": text.count("|") / n,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "letters": letters / max(1, len(text)),
-        "distinct": len(set(words)) / n,
-    }
+        "distinct": len(set(parts)) / n,
+    }, words
+
+
+def measures(text: str) -> dict[str, float]:
+    return look(text)[0]
+
+
+class Telling:
+    """Hashed features of one kind, w, p or q, that are among those `wanted`. Strings that were met are kept, so many at most;
+    most have no such feature, and one set difference leaves these out."""
+
+    MOST, LONGEST = 300_000, 40
+
+    def __init__(self, kind: str, wanted: set[int]):
+        self.kind, self.wanted, self.silent, self.known = kind, wanted, set(), {}
+
+    def __call__(self, strings: set[str]) -> list[int]:
+        out = []
+        for x in strings - self.silent:
+            got = self.known.get(x)
+            if got is None:
+                got = hashed(self.kind + x)
+                if len(x) <= self.LONGEST and len(self.silent) + len(self.known) >= self.MOST:
+                    self.silent.clear()
+                    self.known.clear()
+                if got not in self.wanted:
+                    if len(x) <= self.LONGEST:
+                        self.silent.add(x)
+                    continue
+                if len(x) <= self.LONGEST:
+                    self.known[x] = got
+            out.append(got)
+        return out
 
 
 #: Hashed features of words that were met, of so many words at most.
@@ -85,12 +143,20 @@ def hashed(name: str) -> int:
     return h(name.encode()) & ((1 << BITS) - 1)
 
 
-def features(text: str, m: dict[str, float], words: set[str]) -> np.ndarray:
-    """Hashed features that the text has, in order."""
-    found = {i for x in words for i in word_features(x)}
+def features(m: dict[str, float], words: set[str]) -> np.ndarray:
+    """Hashed features of a text's measures and words, in order."""
+    return _sorted(m, {i for x in words for i in word_features(x)})
+
+
+def weighing(m: dict[str, float], words: set[str], told: list[Telling]) -> np.ndarray:
+    """`features` without those of words that have no weight, which add nothing."""
+    w, p, q = told
+    return _sorted(m, {*w(words), *p({x[:4] for x in words if len(x) > 4}), *q({x[:5] for x in words if len(x) > 5})})
+
+
+def _sorted(m: dict[str, float], found: set[int]) -> np.ndarray:
     for k, v in m.items():
-        bucket = int(min(1.0, v) * 20)
-        found.update(_measure_features(k, bucket))
+        found.update(_measure_features(k, int(min(1.0, v) * 20)))
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
@@ -106,19 +172,16 @@ def votes(m: dict[str, float], words: set[str]) -> list[int]:
     return [int(x) for x in bad] + [-int(prose)]
 
 
-def _look(text: str):
-    words = set(map(str.lower, _WORD.findall(text)))
-    m = measures(text)
-    return m, words
-
-
 def _sampled(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in trimmed(batches):
-        got = [_look(t or "") for t in batch.column(0).to_pylist()]
-        f = [features(t or "", m, w) for t, (m, w) in zip(batch.column(0).to_pylist(), got)]
-        yield pa.RecordBatch.from_arrays([pa.array([votes(m, w) for m, w in got], pa.list_(pa.int32())), pa.array(f, pa.list_(pa.int32())), batch.column(1)], names=["votes", "features", "y"])
+        v, f = [], []
+        for t in batch.column(0).to_pylist():
+            m, words = look(t or "")
+            v.append(votes(m, words))
+            f.append(features(m, words))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int32())), pa.array(f, pa.list_(pa.int32())), batch.column(1)], names=["votes", "features", "y"])
 
 
 def maximise(votes: np.ndarray, times: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -168,10 +231,18 @@ def train(features: list[np.ndarray], target: np.ndarray, epochs: int = 15, batc
     return w.astype(np.float32)
 
 
-def screen(flat: np.ndarray, row: np.ndarray, post: np.ndarray, least: float = 4.0) -> np.ndarray:
+def summed(feats: list[np.ndarray], by_row: np.ndarray) -> np.ndarray:
+    """For each feature the sum of `by_row` over the rows that have it, without an array of all rows' features beside them."""
+    out = np.zeros(1 << BITS)
+    for f, x in zip(feats, by_row.tolist()):
+        out[f] += x  # a row's features are distinct
+    return out
+
+
+def screen(feats: list[np.ndarray], post: np.ndarray, least: float = 4.0) -> np.ndarray:
     """Features whose share of rejected texts is `least` standard errors off the sample's: words that only
     happen to stand in a few rejected texts would otherwise explain these, in place of the words that matter."""
-    bad, good = np.bincount(flat, post[row], 1 << BITS), np.bincount(flat, 1 - post[row], 1 << BITS)
+    bad, good = summed(feats, post), summed(feats, 1 - post)
     n, share = bad + good, post.mean()
     expected = n * share
     z = (bad - expected) / np.sqrt(expected * (1 - share) + 1e-9)
@@ -183,13 +254,14 @@ def _voted(listed: np.ndarray):
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+
         bad = set(np.flatnonzero(listed).tolist())
+        told = Telling("w", bad)
         for batch in trimmed(batches):
             out = []
             for t in batch.column(0).to_pylist():
-                m, words = _look(t or "")
-                hit = bool(bad) and any(word_features(x)[0] in bad for x in words)
-                out.append([*votes(m, words), int(hit)])
+                m, words = look(t or "")
+                out.append([*votes(m, words), int(bool(bad and told(words)))])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["votes"])
 
     return run
@@ -225,40 +297,41 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     flat = lists.values.to_numpy()
     feats = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     # rows in an order of their own, so that training doesn't depend on the order of tasks
-    order = sorted(range(n), key=lambda k: (len(feats[k]), int(y[k]), np.sort(feats[k]).tobytes()))
+    size = lambda k: (len(feats[k]), int(y[k]))
+    order = [k for _, same in itertools.groupby(sorted(range(n), key=size), size) for k in sorted(same, key=lambda k: feats[k].tobytes())]
     heur, y, feats = heur[order], y[order], [feats[k] for k in order]
-    row = np.repeat(np.arange(n), [len(f) for f in feats])
-    flat = np.concatenate(feats)
-    bad, good = np.bincount(flat, y[row] == 1, 1 << BITS), np.bincount(flat, y[row] == -1, 1 << BITS)
-    listed = (bad >= 5) & (bad >= 50 * good)
-    hits = np.bincount(row, listed[flat], n)
-    matrix = np.column_stack([heur, np.where(hits > 0, 1, 0), y])
+    bad, good = summed(feats, y == 1), summed(feats, y == -1)
+    listed = (bad >= 5) & (bad >= 50 * good)  # of features that the sample has: others have no bad
+    matrix = np.column_stack([heur, [int(listed[f].any()) for f in feats], y])
     # of all documents the patterns of votes are counted: at most as many rows as there are patterns
-    words = np.zeros(1 << BITS, bool)
-    words[flat[listed[flat]]] = True
-    counts = texts.select("t").mapInArrow(_voted(words), "votes array<int>").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").toPandas()
-    patterns = np.array([[*v, 0] for v in counts["votes"]], np.int64).reshape(-1, matrix.shape[1])
-    times = counts["n"].to_numpy(float)
+    counts = texts.select("t").mapInArrow(_voted(listed), "votes array<int>").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    patterns = np.array([[*r.votes, 0] for r in counts], np.int64).reshape(-1, matrix.shape[1])
+    times = np.array([r.n for r in counts], float)
     post, _ = maximise(np.concatenate([matrix, patterns]), np.concatenate([np.ones(n), times * weight / max(1.0, times.sum())]))
     post = post[:n]
-    telling = screen(flat, row, post)
-    return train([f[telling[f]] for f in feats], post)
+    telling = screen(feats, post)
+    weights = train([f[telling[f]] for f in feats], post)
+    trim()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """(row, score): each row as a struct with its probability of rejection."""
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
+    told: list[Telling] = []  # the same for all batches of a task
 
     @arrow_udf("double")
     def scored(text):
         import pyarrow as pa
 
         w = sent.value
+        if not told:
+            weighs = set(np.flatnonzero(w[:-1]).tolist())
+            told.extend(Telling(kind, weighs) for kind in "wpq")
         out = []
         for t in text.to_pylist():
-            m, words = _look(t or "")
-            x = float(w[features(t or "", m, words)].sum(dtype=np.float64) + w[-1])
+            x = float(w[weighing(*look(t or ""), told)].sum(dtype=np.float64) + w[-1])
             out.append(round(1 / (1 + np.exp(-max(-30.0, min(30.0, x)))), 6))
         got = pa.array(out, pa.float64())
         trim()

@@ -532,6 +532,80 @@ def test_measures_are_alike_at_every_length():
         assert quality.measures(("Абв" * n)[:n])["capitals"] == pytest.approx(1 / 3, abs=0.01)
 
 
+def plain_look(text):
+    """Measures and words as they are defined."""
+    parts, letters = text.split(), [c for c in text if c.isalpha()]
+    lines = [x for x in text.split("\n") if x.strip()]
+    n = max(1, len(parts))
+    return {
+        "repeats": sum(a == b for a, b in zip(parts, parts[1:])) / n,
+        "capitals": sum(c.isupper() for c in letters) / max(1, len(letters)),
+        "symbols": len(re.findall(r"[*%$#&^~@=+]{2,}", text)) / n,
+        "bangs": text.count("!!") / n,
+        "pipes": text.count("|") / n,
+        "lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "letters": len(letters) / max(1, len(text)),
+        "distinct": len(set(parts)) / n,
+    }, {x.lower() for x in re.findall(r"[^\W\d_]+", text)}
+
+
+def test_look_is_as_defined():
+    rng = random.Random(19)
+    odd = ["", " ", "\n\n", "ΑΣ'Α ΟΔΟΣ ΣΑΣ", "İstanbul İ I", "a²b ½x Ⅷ Ⓐ x_y 12ab ٣٤", "!!! || ** %$# @= =", " a\u0085b\x1cc\u3000d", "ǅ ß ẞ", "𝔘𝔫 𐐀𐐨", "\r\n \x0b\n a\n a", "a\0B", "日本 STOP", "e\u0301E\u0301"]
+    odd += ["".join(rng.choices("aAbéÉσΣς0²_ \n!|*=日\u0301İ", k=rng.randrange(60))) for _ in range(500)] + ["".join(rng.choices("aAbB0_ \n!|*=\t@", k=rng.randrange(60))) for _ in range(500)]
+    for text in odd + ["".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)]:
+        assert quality.look(text) == plain_look(text), text[:60]
+
+
+def test_look_is_cheap():
+    import time
+
+    rng = random.Random(20)
+    some = [words(rng, 3000, 800) for _ in range(20)]
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            for t in some:
+                f(t)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    before = lambda t: (collections.Counter(t), re.findall(r"[*%$#&^~@=+]{2,}", t), {*map(str.lower, re.findall(r"[^\W\d_]+", t))})  # noqa: E731  part of what it did
+    assert seconds(quality.measures) < seconds(before)
+
+
+def test_telling_words_give_the_score(monkeypatch):
+    monkeypatch.setattr(quality.Telling, "MOST", 50)  # so that what is kept goes now and then
+    rng = np.random.default_rng(3)
+    w = np.zeros(1 << quality.BITS, np.float32)
+    some = [words(random.Random(k), 120, 400) + " Ünï" * (k % 2) + " x" * k + "y" * 3 * k for k in range(30)]
+    full = [quality.features(*quality.look(t)) for t in some]
+    met = np.unique(np.concatenate(full))
+    w[rng.choice(met, len(met) // 5, replace=False)] = 0.5  # halves add up exactly
+    weighs = set(np.flatnonzero(w).tolist())
+    told = [quality.Telling(kind, weighs) for kind in "wpq"]
+    for t, f in zip(some * 2, full * 2):
+        short = quality.weighing(*quality.look(t), told)
+        assert len(short) < len(f) and w[short].sum() == w[f].sum()
+
+
+def test_fit_counts_without_a_copy_of_all_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    feats = [np.unique(rng.integers(0, 1 << quality.BITS, 2000)).astype(np.int32) for _ in range(1500)]
+    post = rng.random(len(feats))
+    tracemalloc.start()
+    quality.screen(feats, post)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(map(len, feats)) * 8
+    flat, row = np.concatenate(feats), np.repeat(np.arange(len(feats)), list(map(len, feats)))
+    assert (quality.summed(feats, post) == np.bincount(flat, post[row], 1 << quality.BITS)).all()
+
+
 def test_quality_cases(spark):
     texts = [None, "", "same text", "same text", "word " * 100000, "СТОП " * 50]
     docs = spark.createDataFrame([(k, t, 0.5, "c") for k, t in enumerate(texts)] + [(None, "x", 0.1, "c")], "doc_id long, text string, score double, row string")
