@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +37,24 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+#: So many links, 16 bytes each, are solved in one task; each round over more of them costs the driver five jobs.
+AT_ONCE = 1 << 19
+
+
+def _solved(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    parts = [forest(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    u, v = forest(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))) if parts else (np.zeros(0, np.int64),) * 2
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of longs to (node, root): root is the smallest node that can be reached.
 
     Nodes without a link don't appear. Each round is written to the shared folder; hubs are met by
-    pre-aggregated minima, so that no task ever holds the neighbours of a node together.
+    pre-aggregated minima, so that no task ever holds the neighbours of a node together. Up to AT_ONCE
+    links are solved by one task instead, whatever their shape.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     edges = stash(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "links")
@@ -49,6 +64,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        if state[0] <= AT_ONCE:
+            edges = stash(edges.coalesce(1).mapInArrow(_solved, "u long, v long"), "links")
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -154,6 +154,21 @@ def test_components(spark):
     assert dict(zip(u.tolist(), v.tolist())) == {7: 5, 9: 5, 11: 5}
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    import stratalane.llm._graph as graph
+
+    pairs = [(k, k + 1) for k in range(0, 400) if k % 100] + [(900 - k, 901 - k) for k in range(60)] + [(7, 7), (-5, 2**62), (2**62, -5)]
+    want = union(pairs, {x for p in pairs for x in p})
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(7)
+    spark.sparkContext.setJobGroup("few links", "")
+    got = dict(rows(components(links), "node", "root"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: v for k, v in want.items() if k != 7 or k in got}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 16
+    monkeypatch.setattr(graph, "AT_ONCE", 0)  # by rounds it is the same
+    assert dict(rows(components(links), "node", "root")) == got
+
+
 def test_near_dedup(spark, empty):
     rng = random.Random(8)
     fresh = [words(rng, 200, 5000) for _ in range(40)]
