@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_udf, buffers, pieces, stash, trim, trimmed
 
 LENGTH, GRAM = 200, 32
-SLICE = 2 << 20
+#: Bytes of text whose runs are found at a time (longer texts are cut there), and bytes whose equal runs are folded.
+SLICE, PIECE = 1 << 19, 2 << 20
 SHARD_BYTES = 6 << 20
 #: Runs of one minimizer beyond which they are split by the minimizer's offset, and the offsets in a part.
 HOT_RUNS, HOT_STEP = 4096, 12
@@ -59,17 +60,19 @@ def minimizers(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     return x[at], at
 
 
-def runs(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def runs(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, stretches: bool = True):
     """Runs of window starts of one minimizer: (doc, order in its document, first, last, hash, several), positions in raw.
-    several: the minimizer's position changes within the run. And the stretches of each run of one HOT_STEP of the
-    minimizer's offset in its window: (run, first, last, step, several)."""
+    several: the minimizer's position changes within the run. And, if asked for, the stretches of each run of one HOT_STEP
+    of the minimizer's offset in its window: (run, first, last, step, several).
+
+    Slices hold whole texts of SLICE bytes at most or a part of one longer text, so the order of runs depends on the text alone.
+    """
     raw = np.ascontiguousarray(raw)
     out, cut, n = [], [], 0
     for a, b in pieces(offsets, SLICE):
         lo, hi = int(offsets[a]), int(offsets[b])
-        step = (1 << 24) - length - 1
-        for s in range(lo, hi - length + 1, step):
-            part = raw[s : min(hi, s + step + length - 1)]
+        for s in range(lo, hi - length + 1, SLICE):
+            part = raw[s : min(hi, s + SLICE + length - 1)]
             if len(part) < length:
                 continue
             h, at = minimizers(part, length, gram)
@@ -87,19 +90,21 @@ def runs(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: int =
             end = np.append(begin[1:], len(idx)) - 1
             moved = np.cumsum(np.concatenate([[0], at[idx[1:]] != at[idx[:-1]]]))
             out.append((idx[begin] + s, idx[end] + s, h[idx[begin]], moved[end] != moved[begin]))
+            if not stretches:
+                continue
             q = (at[idx] - idx) // HOT_STEP
             begin = np.flatnonzero(new | np.concatenate([[True], q[1:] != q[:-1]]))
             end = np.append(begin[1:], len(idx)) - 1
             cut.append((n + np.cumsum(new)[begin] - 1, idx[begin] + s, idx[end] + s, q[begin], moved[end] != moved[begin]))
             n += int(new.sum())
+    z = np.zeros(0, np.int64)
     if not out:
-        z = np.zeros(0, np.int64)
         return z, z, z, z, z.astype(np.uint64), z.astype(bool), (z, z, z, z, z.astype(bool))
     first, last, h, several = (np.concatenate(x) for x in zip(*out))
     doc = np.searchsorted(offsets, first, "right") - 1
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     order = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    return doc, order, first, last, h, several, tuple(np.concatenate(x) for x in zip(*cut))
+    return doc, order, first, last, h, several, tuple(np.concatenate(x) for x in zip(*cut)) if cut else (z, z, z, z, z.astype(bool))
 
 
 def _run_rows(length: int, gram: int):
@@ -108,8 +113,8 @@ def _run_rows(length: int, gram: int):
 
         for batch in trimmed(batches):
             offsets, raw = buffers(batch.column(2))
-            for a, b in pieces(offsets, SLICE):
-                doc, order, _, _, h, several, _ = runs(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]], length, gram)
+            for a, b in pieces(offsets, PIECE):
+                doc, order, _, _, h, several, _ = runs(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]], length, gram, stretches=False)
                 at = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(order.astype(np.int32)), pa.array(np.where(several, 2, 1).astype(np.int32))], names=["v", "id", "h", "no", "n"])
 
@@ -127,15 +132,15 @@ def _segment_rows(length: int, gram: int, shards: int):
             kept = batch.column(3)
             klens = np.append(0, np.cumsum(kept.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
             kflat = kept.flatten().to_numpy()
-            for a, b in pieces(offsets, SLICE):
+            for a, b in pieces(offsets, PIECE):
                 lo = offsets[a]
                 part = np.ascontiguousarray(raw[lo : offsets[b]])
-                doc, order, first, last, h, several, steps = runs(offsets[a : b + 1] - lo, part, length, gram)
                 want = kflat[klens[a] : klens[b]]
+                hot = (want & 1).astype(bool)
+                doc, order, first, last, h, several, steps = runs(offsets[a : b + 1] - lo, part, length, gram, stretches=bool(hot.any()))
                 wdoc = np.repeat(np.arange(b - a), np.diff(klens[a : b + 1]))
                 base = np.searchsorted(doc, wdoc, "left")
                 pick = base + (want >> 1)
-                hot = (want & 1).astype(bool)
                 d, f, l, v, s = doc[pick], first[pick], last[pick], h[pick], several[pick]
                 off = np.zeros(len(pick), np.int64)
                 # every hot run is cut where the minimizer's offset passes a step, so that a window's key depends on its bytes alone

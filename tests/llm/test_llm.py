@@ -698,6 +698,34 @@ def test_suffix_dedup_hot_minimizer_twice(spark, monkeypatch):
     assert rows(suffix.dedup(df), "doc_id", "n_removed") == want and want[0][1] >= 300
 
 
+def test_suffix_runs_of_long_texts(spark, monkeypatch):
+    """Work on a text of several slices needs memory of one slice, and windows across their edges are found."""
+    import tracemalloc
+
+    raw = np.random.default_rng(8).integers(97, 123, 12 << 20).astype(np.uint8)
+    tracemalloc.start()
+    suffix.runs(np.array([0, len(raw)]), raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    text = raw[: 1 << 20].tobytes().decode()
+    edge = suffix.SLICE
+    other = raw[2 << 20 :][:900].tobytes().decode()
+    df = spark.createDataFrame([(1, text), (2, other + text[edge - 170 : edge + 130] + other[:150])], "doc_id long, text string")
+    assert rows(suffix.dedup(df), "doc_id", "n_removed", "n_spans") == [(1, 300, 1), (2, 300, 1)]
+
+    raw, offsets = raw[:9000], np.array([0, 300, 350, 5000, 5900, 9000])
+
+    def hashes():
+        doc, order, first, last, h, _, (of, f, l, step, _) = suffix.runs(offsets, raw)
+        assert all(order[doc == d].tolist() == list(range((doc == d).sum())) for d in range(5))
+        return {k: x for a, b, x in zip(first, last, h) for k in range(a, b + 1)}, {k: (h[r], q) for r, a, b, q in zip(of, f, l, step) for k in range(a, b + 1)}
+
+    whole = hashes()
+    monkeypatch.setattr(suffix, "SLICE", 1000)
+    assert hashes() == whole and len(whole[0]) == 101 + 4451 + 701 + 2901
+
+
 def test_shards_in_parts():
     rng = random.Random(9)
     base = bytes(rng.randrange(97, 101) for _ in range(700))
