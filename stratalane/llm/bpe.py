@@ -16,6 +16,7 @@ the library; null ids are ids like any other; other columns are dropped, whateve
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from ._common import buffers, pieces, total_bytes, trim, trimmed
 from .pretokens import cuts, dictionary
 
 BLOCK_BYTES = 4 << 20
+#: An odd multiplier (2**64 over the golden ratio), and bytes of the longest words that are hashed together.
+MIX, LONG = np.uint64(0x9E3779B97F4A7C15), 64
 #: Blocks whose distinct words are pooled, and blocks to an owner of words. A block so sends rows to GROUP_BLOCKS / SHARE owners at
 #: most and an owner hears of GROUP_BLOCKS blocks at most: packed rows grow with the corpus, not with its square.
 GROUP_BLOCKS, SHARE = 16384, 4
@@ -39,6 +42,22 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all of them end to end."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return counts, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))
+
+
+def _merged(counts: np.ndarray, flat: np.ndarray, more: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and ids with those of the words `more`, which have none so far, put in their places."""
+    ends = np.append(0, np.cumsum(counts))
+    places = np.repeat(ends[list(more)], [len(x) for x in more.values()]) if more else []
+    flat = np.insert(flat, places, list(itertools.chain.from_iterable(more.values()))) if more else flat
+    for k, x in more.items():
+        counts[k] = len(x)
+    return counts, flat
+
+
 class RankEncoder:
     """Encodes by a file of ranks, as tiktoken does."""
 
@@ -59,6 +78,9 @@ class RankEncoder:
         encode = self.lib.encode_ordinary
         return [encode(w.decode()) for w in words]
 
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.words(words))
+
     def text(self, text: str) -> list[int]:
         return self.lib.encode_ordinary(text)
 
@@ -95,6 +117,39 @@ class JsonEncoder:
             out += [x.ids for x in self.lib.encode_batch_fast([w.decode() for w in words[k : k + 20000]], add_special_tokens=False)]
         return out
 
+    @functools.cached_property
+    def newline(self) -> int | None:
+        """The id that a line feed has, if it is one of its own."""
+        k = self.lib.token_to_id("\u010a")  # its name in byte-level vocabularies
+        return k if k is not None and self.text("\n") == [k] else None
+
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of `words`, encoded as lines of about a hundred words, which costs less than half.
+
+        The pattern cuts a line feed off any word but white space. Words of white space go alone, and so do all of a piece
+        where a line feed isn't seen after each: the others hold none, so a full count says that none of them was taken up.
+        """
+        if self.newline is None:
+            return _flat(self.words(words))
+        lines = np.fromiter((not w.decode().isspace() and b"\n" not in w for w in words), bool, len(words))
+        picked = np.flatnonzero(lines).tolist()
+        counts, parts = np.zeros(len(words), np.int64), []
+        for k in range(0, len(picked), 20000):
+            some = [words[j] for j in picked[k : k + 20000]]
+            texts = [b"\n".join([*some[j : j + 100], b""]).decode() for j in range(0, len(some), 100)]
+            found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in found), np.uint32)
+            at = np.flatnonzero(ids == self.newline)
+            if len(at) == len(some):
+                n, ids = np.diff(at, prepend=-1) - 1, ids[ids != self.newline]
+            else:
+                n, ids = _flat(self.words(some))
+            counts[picked[k : k + 20000]] = n
+            parts.append(ids)
+        alone = np.flatnonzero(~lines).tolist()
+        ids_of = dict(zip(alone, self.words([words[j] for j in alone])))
+        return _merged(counts, np.concatenate([np.zeros(0, np.uint32), *parts]), ids_of)
+
     def text(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
@@ -151,20 +206,52 @@ def _unpack_rows(table):
     return ids.flatten(), np.append(0, np.cumsum(lens)), np.concatenate([x for _, x in got])
 
 
-def _owned(words, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of a block's distinct words, and each one's owner, from the words alone."""
+def _hashes(words) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight bytes at a time over all words; long ones one by one."""
     from xxhash import xxh3_64_intdigest as h
 
-    listed = words.to_pylist()
-    hashed = np.fromiter(map(h, listed), np.uint64, len(listed))
-    owner = (hashed % np.uint64(owners)).astype(np.int64)
-    order = np.lexsort((hashed, owner))
+    ends, data = buffers(words)
+    starts, lens = ends[:-1], np.diff(ends)
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", pad, strides=(1,))  # the eight bytes from each place on
+    out = lens.astype(np.uint64) * MIX
+    for at in range(0, LONG, 8):
+        here = np.flatnonzero(lens > at)
+        kept = np.minimum(lens[here] - at, 8).astype(np.uint64) * np.uint64(8)
+        x = (out[here] ^ eight[starts[here] + at] << np.uint64(64) - kept) * MIX
+        out[here] = x ^ x >> np.uint64(32)
+    for k in np.flatnonzero(lens > LONG).tolist():
+        out[k] = h(words[k].as_py())
+    return out
+
+
+def _owned(words, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's distinct words, and each one's owner, from the words alone."""
+    hashed = _hashes(words)
+    owner = ((hashed >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(hashed)  # and so by owners
     x = hashed[order]
     if (x[1:] == x[:-1]).any():  # two words of one hash: go by their bytes
-        order = np.array(sorted(range(len(listed)), key=lambda k: (owner[k], hashed[k], listed[k])), np.int64)
+        listed = words.to_pylist()
+        order = np.array(sorted(range(len(listed)), key=lambda k: (hashed[k], listed[k])), np.int64)
     return order, owner
 
 
+def _lists(flat: np.ndarray, counts: np.ndarray):
+    """The ids of words, `counts` of `flat` each, as bytes: Arrow copies those word by word, which it doesn't with lists."""
+    import pyarrow as pa
+
+    ends = np.append(0, np.cumsum(counts, dtype=np.int64)) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
+
+
+def _gather(lists, at: np.ndarray) -> np.ndarray:
+    """The ids of the words `at`, end to end."""
+    import pyarrow as pa
+
+    return buffers(lists.take(pa.array(at)))[1].view("<u4")
+
+
 def _send(owners: int):
     def run(key, table):
         import pyarrow as pa
@@ -197,16 +284,13 @@ def _encode(encoder):
         raw = np.concatenate([x for _, x in blobs])
         sizes = np.concatenate(lens).astype(np.int64)
         codes, words = dictionary(np.cumsum(sizes) - sizes, raw)
-        ids = encoder.words(words.to_pylist())
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum()))
-        ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(flat.astype(np.uint32)))
+        counts, flat = encoder.flat(words.to_pylist())
+        ids = _lists(flat, counts)
         out, at = [], 0
         for x in lens:
             part = codes[at : at + len(x)]
             at += len(x)
-            got = ids.take(pa.array(part)).flatten().to_numpy()
-            out.append(_pack(counts[part], got))
+            out.append(_pack(counts[part], _gather(ids, part)))
         return pa.table({"block": table.column("block"), "owner": table.column("owner"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -214,8 +298,6 @@ def _encode(encoder):
 
 def _join(encoder, owners: int, finish: Callable):
     def run(key, left, right):
-        import pyarrow as pa
-
         trim()
 
         keys, offsets, raw = _unpack_rows(left)
@@ -227,11 +309,10 @@ def _join(encoder, owners: int, finish: Callable):
         counts = np.concatenate([none, *(x.astype(np.int64) for x, _ in got)])
         if len(counts) != len(order):
             raise RuntimeError("the ids of a block don't fit its words")
-        ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(np.concatenate([none, *(x for _, x in got)]).astype(np.uint32)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         at = rank[codes]
-        flat = ids.take(pa.array(at)).flatten().to_numpy().astype(np.uint32)
+        flat = _gather(_lists(np.concatenate([none, *(x for _, x in got)]), counts), at)
         ends = np.append(0, np.cumsum(counts[at]))[np.searchsorted(starts, offsets)]
         texts = raw.tobytes()
         for k in range(len(odd)):  # rare texts go through the library whole

@@ -43,21 +43,17 @@ def cuts(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), odd
     pad = np.concatenate([raw, np.zeros(4, np.uint8)])
-    cls = np.concatenate([cls_of[:128], np.full(128, OTHER, np.uint8)])[raw]
+    cls = np.frombuffer(bytearray(raw.tobytes().translate(cls_of[:128].tobytes() + bytes([OTHER] * 128))), np.uint8)
     lead = np.flatnonzero(raw >= 0xC0)
-    if len(lead):
-        b = [pad[lead + k].astype(np.int64) for k in range(4)]
-        two, three = b[0] < 0xE0, (b[0] >= 0xE0) & (b[0] < 0xF0)
-        low = [x & 0x3F for x in b]
-        cp = np.where(two, (b[0] & 0x1F) << 6 | low[1], np.where(three, (b[0] & 0x0F) << 12 | low[1] << 6 | low[2], (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]))
-        c = cls_of[cp]
-        cls[lead] = c
-        cls[lead + 1] = c
-        cls[lead[~two] + 2] = c[~two]
-        four = ~two & ~three
-        cls[lead[four] + 3] = c[four]
-        bad = lead[~stable[cp]]
-        odd[np.searchsorted(offsets, bad, "right") - 1] = True
+    size = (raw[lead] >= 0xE0).view(np.uint8) + (raw[lead] >= 0xF0)  # bytes after the lead byte, less one
+    for more in range(1, 4):
+        at = lead[size == more - 1]
+        cp = raw[at].astype(np.int32) & 0x3F >> more
+        for k in range(1, more + 1):
+            cp = cp << 6 | pad[at + k] & 0x3F
+        for k in range(more + 1):
+            cls[at + k] = cls_of[cp]
+        odd[np.searchsorted(offsets, at[~stable[cp]], "right") - 1] = True
     first = np.zeros(n + 4, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
     run = np.empty(n + 4, bool)
@@ -67,11 +63,11 @@ def cuts(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run |= first
     start = run[:n].copy()
     # a run after white space of the same text
-    at = np.flatnonzero(start)
-    at = at[(cls[at] != SPACE) & ~first[at]]
-    at = at[cls[at - 1] == SPACE]
-    start[at[raw[at - 1] == 0x20]] = False
-    last = at - 1
+    white = cls == SPACE
+    after = white[:-1] & ~white[1:] & ~first[1:n]
+    start[1:] &= ~(after & (raw[:-1] == 0x20))
+    start[:-1] |= after & (raw[:-1] < 0x80)
+    last = np.flatnonzero(after & (raw[:-1] >= 0x80))
     for _ in range(3):
         last = np.where(raw[last] & 0xC0 == 0x80, last - 1, last)
     start[last] = True

@@ -283,6 +283,69 @@ def test_token_files(spark, docs, empty):
     assert token_files._filesystem("file:///tmp")[1] == "/tmp"
 
 
+def test_words_are_encoded_as_lines():
+    """An owner of words hands them to the library about a hundred at a time, with the ids that each has alone."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    parts = ["'", "s", "ll", " ", "  ", "\n", "\t", "é", "日", "1", "!", "A", "\u0301", "😀", "\x1c", "\x85", "\u3000", "\u180e", "\ufeff", "<|", "endoftext", "|>", "'ve"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, _ = pretokens.cuts(np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64), data)
+    words = sorted(set(pretokens.dictionary(starts, data)[1].to_pylist()) | {b"w%d" % k for k in range(5000)})
+    rng.shuffle(words)
+    sizes = []
+
+    class Counting(bpe.JsonEncoder):
+        @property
+        def lib(self):
+            return self
+
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(len(texts))
+            return plain.lib.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(plain.lib, name)
+
+    plain = bpe.JsonEncoder(JSON)
+    half = len(words) // 2
+    blobs = [bpe._pack(np.array([len(w) for w in ws], "<u4"), np.frombuffer(b"".join(ws), np.uint8)) for ws in (words[:half], words[half // 2 :])]
+    out = bpe._encode(Counting(JSON))((pa.scalar(0),), pa.table({"block": [0, 1], "owner": [0, 0], "words": pa.array(blobs, pa.binary())}))
+    for blob, ws in zip(out.column("ids").to_pylist(), (words[:half], words[half // 2 :])):
+        counts, ids = bpe._unpack(blob, 2)
+        want = [plain.lib.encode(w.decode(), add_special_tokens=False).ids for w in ws]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert sum(sizes) < len(words) / 20
+    # a line feed that some vocabulary joins to what stands before it: the piece goes word by word
+    joined = Counting(JSON)
+    joined.encode_batch_fast = lambda texts, **kw: plain.lib.encode_batch_fast([t.replace("b\n", "b ") for t in texts], **kw)
+    counts, ids = joined.flat([b"a", b" b", b" ", b"c"])
+    assert counts.tolist() == [len(plain.text(t)) for t in ("a", " b", " ", "c")] and ids.tolist() == [i for t in ("a", " b", " ", "c") for i in plain.text(t)]
+
+
+def test_owners_of_words(monkeypatch):
+    """Both ends find the same order and owners from the words alone, also where two words have one hash."""
+    import pyarrow as pa
+
+    words = [b"w%d" % k for k in range(4000)] + [b"x" * k for k in range(1, 200)] + [b"y" * 64 + b"z%d" % k for k in range(50)]
+    mixed = random.Random(2).sample(words, len(words))
+    for owners in (1, 4, 51):
+        found = []
+        for listed in (words, mixed):
+            order, owner = bpe._owned(pa.array(listed, pa.large_binary()), owners)
+            assert sorted(order.tolist()) == list(range(len(words))) and (np.diff(owner[order]) >= 0).all()
+            found.append([(listed[k], int(owner[k])) for k in order])
+        assert found[0] == found[1]
+        share = np.bincount([o for _, o in found[0]], minlength=owners)
+        assert len(share) == owners and share.max() < 2 * len(words) / owners
+    monkeypatch.setattr(bpe, "_hashes", lambda words: np.array([len(w.as_py()) << 33 for w in words], np.uint64))
+    same = [[listed[k] for k in bpe._owned(pa.array(listed, pa.large_binary()), 4)[0]] for listed in (words, mixed)]
+    assert same[0] == same[1] == sorted(words, key=lambda w: (len(w), w))
+    assert len(bpe._owned(pa.array([], pa.large_binary()), 4)[0]) == 0
+
+
 def test_near_dedup_links_by_exact_similarity(spark):
     rng = random.Random(31)
     fresh = iter(rng.sample(range(10**6, 10**7), 200000))
