@@ -185,7 +185,7 @@ def _frames_of(name: str, kind_name: str, pos: np.ndarray, x: np.ndarray, valid:
         if not forced:
             mode, payload = choose(part, kind, cfg)
             return BY_NAME[mode].id, payload
-        got = kernels.encode(forced, part, kind, PENALTY[cfg.level], cfg.level == "max", cfg.level in _ENTROPY)
+        got = kernels.encode(forced, part, kind, PENALTY[cfg.level], cfg.level == "max", cfg.level in _ENTROPY, whole=strict)
         if got is None:
             if strict and len(part):
                 raise CorruptPayload(f"{forced} doesn't fit {name}, block from {pos[0]}")
@@ -230,7 +230,8 @@ def encode(df: DataFrame, columns: Sequence[str], cfg: Config = Config(), pos: s
 
     Adaptive blocks are planned within stretches of 131072 positions; fixed ones are `block_size` positions. Decimals
     and 32-byte binaries (256-bit integers, lowest byte first) are stored as limbs. df is read once per group of columns.
-    `forced` names an encoding to use wherever it fits; RAW stands in elsewhere, or with `strict` an error."""
+    `forced` names an encoding to use wherever it fits; RAW stands in elsewhere. With `strict` nothing stands in: encodings that
+    hold any block are used where they save nothing too, and a block that the others don't fit is an error."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for c in columns:
         arrays.limbs_of(types[c])

@@ -835,7 +835,7 @@ def _trip(mode: str) -> None:
     names = tuple(t for t in ("events", "orders") if columns_of(t, floats=True, only=only))
 
     def run(spark, sf):
-        """Forced, without a stand-in: a block that the encoding doesn't fit is an error."""
+        """Forced, without a stand-in: on any block where the encoding holds any, else a block that it doesn't fit is an error."""
         parts = []
         for t in names:
             cols = columns_of(t, floats=True, only=only)

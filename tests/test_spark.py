@@ -245,3 +245,24 @@ def test_sql_functions(spark):
 def test_strict_refuses_a_stand_in(spark, mixed):
     with pytest.raises(Exception, match="CONST doesn't fit a"):
         frames.encode(mixed, ["a"], Config("fast"), forced="CONST", strict=True).collect()
+
+
+@pytest.mark.parametrize("mode", ["DICT", "RLE", "ALP_RD"])
+def test_strict_keeps_blocks_that_save_nothing(spark, mode):
+    """Almost all values distinct, in every bit: the size rules turn such blocks away, a strict round trip does not."""
+    df = spark.range(3000).selectExpr("id as pos", "reflect('java.lang.Double', 'longBitsToDouble', xxhash64(id div 7 * 7 + least(id % 7, 5))) as x").selectExpr("pos", "cast(x as double) as x")
+    df = df.where("x = x").selectExpr("row_number() over (order by pos) - 1 as pos", "x")
+    plain = frames.encode(df, ["x"], Config("high", block_size=1000), forced=mode)
+    assert {BY_ID[r["mode"]].name for r in plain.collect()} == {"RAW"}
+    got = frames.encode(df, ["x"], Config("high", block_size=1000), forced=mode, strict=True)
+    assert {BY_ID[r["mode"]].name for r in got.collect()} == {mode}
+    assert frames.decode(got).select("pos", "lane").exceptAll(blocks.lanes(df, ["x"]).select("pos", "lane")).count() == 0
+    assert frames.decode(got).count() == df.count()
+
+
+def test_roundtrip_dict_of_many_users(spark, tmp_path):
+    """As copies of the tables with shifted keys: over half of the users of a block are distinct."""
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("event_id") * 3).write.parquet(str(tmp_path / "events.parquet"))
+    got = queries.QUERIES["roundtrip_dict"](spark, str(tmp_path))
+    want = queries.rows_of(spark, str(tmp_path), ("events",), floats=True, only=queries.FITS["DICT"]).select("col", "pos", "lane")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
