@@ -7,6 +7,7 @@ one global window: rows are range-partitioned on the key, written, counted by pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from ..config import UnsupportedType
 from ..functions.lanes import double_bits
 from .work import written
 
+#: Rows that number() sorts in a task on average, and rows that are worth a task where there are fewer tasks than cores.
+SORT, MIN_SORT = 1 << 19, 1 << 14
+
 #: Types that have a lane: family, bytes and signedness.
 LANES = {
     "double": ("float", 8, False),
@@ -56,8 +60,11 @@ def number(df: DataFrame, order: Sequence[str], pos: str = "pos") -> DataFrame:
 
     The range-sorted rows are written once, with their partition and place in it: counts and positions both come
     from that table, so that neither sampled range bounds nor coalesced partitions can differ between them.
-    Rows of equal keys get neighbouring positions in an order that is fixed by the write; nulls come first."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    Rows of equal keys get neighbouring positions in an order that is fixed by the write; nulls come first.
+    Ranges grow in number with the rows, not in size."""
+    rows = df.count()
+    least = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // MIN_SORT))
+    ranged = df.repartitionByRange(max(1, least, -(-rows // SORT)), *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
     rows = written(ranged.select("*", F.spark_partition_id().alias("_part"), place.alias("_in")), "numbered")
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -84,6 +91,30 @@ def in_blocks(lane_rows: DataFrame, size: int) -> DataFrame:
     return lane_rows.withColumn("block", F.expr(f"pos div {size}")).withColumn("i", (F.col("pos") % size).cast("int"))
 
 
+#: Lanes that a partition of dealt() holds on average: what a task needs is bounded by this, whatever the tables' size.
+DEAL = 1 << 18
+
+
+def dealt(tables: Sequence[tuple[str, DataFrame, Sequence[str]]], size: int) -> DataFrame:
+    """(col, kind, pos, lane, block, i) of the columns of several tables (name, table with positions, columns), by block.
+
+    Table rows are shuffled on the block with their lanes in an array, once, and become a row per lane only behind that: windows
+    and aggregates on (col, kind, block) find the rows where they need them. Partitions grow in number with the tables, not in size."""
+    spark = tables[0][1].sparkSession
+    parts, cells, lanes_in, blocks_in = [], None, 0, 0
+    for k, (name, df, columns) in enumerate(tables):
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        n = df.count()
+        lanes_in, blocks_in = lanes_in + n * len(columns), max(blocks_in, -(-n // size))
+        parts.append(df.select(F.lit(k).alias("_t"), F.expr(f"pos div {size}").alias("block"), "pos", F.array(*(lane_of(F.col(c), kinds[c]) for c in columns)).alias("_x")))
+        mine = F.array(*(F.struct(F.lit(f"{name}.{c}").alias("col"), F.lit(kinds[c]).alias("kind"), F.col("_x")[j].alias("lane")) for j, c in enumerate(columns)))
+        cells = F.when(F.col("_t") == k, mine) if cells is None else cells.when(F.col("_t") == k, mine)
+    least = min(spark.sparkContext.defaultParallelism, blocks_in)
+    rows = reduce(DataFrame.unionByName, parts).repartition(max(1, least, -(-lanes_in // DEAL)), "block")
+    out = rows.select("pos", "block", F.inline_outer(cells))
+    return out.select("col", "kind", "pos", "lane", "block", (F.col("pos") % size).cast("int").alias("i"))
+
+
 def compact(lane_rows: DataFrame, size: int = 32768) -> DataFrame:
     """Valid lanes with new positions, in order. The rank is a prefix sum in two levels: within a stretch, and of the stretches' counts."""
     stretch = lane_rows.withColumn("_s", F.expr(f"pos div {size}"))

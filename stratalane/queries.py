@@ -55,14 +55,12 @@ def columns_of(t: str, ints=True, floats=False, only=None) -> list[str]:
 KEPT = {"events": ["event_id", "ts", "user_id", "day", "zero", "value", "third", "whole"], "orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"]}
 
 
-def rows_of(spark, sf_dir, names=("events", "orders"), ints=True, floats=False, size=SIZE, only=None) -> DataFrame:
-    parts = []
-    for t in names:
-        cols = columns_of(t, ints, floats, only)
-        df = numbered(spark, sf_dir, t, cols)
-        x = B.in_blocks(B.lanes(df, cols), size)
-        parts.append(x.withColumn("col", F.concat(F.lit(t + "."), "col")))
-    return reduce(DataFrame.unionByName, parts)
+def rows_of(spark, sf_dir, names=("events", "orders"), ints=True, floats=False, size=SIZE, only=None, by_block=True) -> DataFrame:
+    """Lanes of the tables with their blocks; `by_block` deals them so that a block's rows are together."""
+    parts = [(t, numbered(spark, sf_dir, t, columns_of(t, ints, floats, only)), columns_of(t, ints, floats, only)) for t in names]
+    if by_block:
+        return B.dealt(parts, size)
+    return reduce(DataFrame.unionByName, [B.in_blocks(B.lanes(df, cols), size).withColumn("col", F.concat(F.lit(t + "."), "col")) for t, df, cols in parts])
 
 
 def with_value(rows: DataFrame) -> DataFrame:
@@ -255,7 +253,7 @@ def query(text: str | None = None):
 
 @query(sql([sql_rows(floats=True)], "SELECT col, pos, lane FROM rows"))
 def lane_lowering(spark, sf):
-    return rows_of(spark, sf, floats=True).select("col", "pos", "lane")
+    return rows_of(spark, sf, floats=True, by_block=False).select("col", "pos", "lane")
 
 
 @query("SELECT event_id - (SELECT min(event_id) FROM events) AS pos, value, ts, user_id FROM events")
@@ -302,7 +300,7 @@ def validity_size(spark, sf):
 
 @query(sql([sql_rows(("events", "orders", "customer", "part"))], "SELECT col, block, count(*) AS n, min(pos) AS first FROM rows GROUP BY col, block"))
 def block_plan_fixed(spark, sf):
-    return rows_of(spark, sf, tuple(TABLES)).groupBy("col", "block").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return rows_of(spark, sf, tuple(TABLES), by_block=False).groupBy("col", "block").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 @query(sql([sql_rows(floats=True), SQL_MOVED, SQL_FEATURES], "SELECT col, block, n, exp_range, distinct_low, repeats, noise FROM features"))
@@ -572,9 +570,10 @@ _BYTES = f"b AS (SELECT col, block, (({u('lane')} // (1::HUGEINT << (8 * k))) %
 def order1_entropy(spark, sf):
     """Conditional entropy of all bytes of a block given the byte before: the size of a context-modelling coder. Under 64 bytes count whole."""
     x = rows_of(spark, sf, ("orders",), floats=True)
-    planes = F.array(*(F.struct(L.byte_plane(F.col("lane"), k).alias("b"), F.lit(k).alias("k")) for k in range(8)))
-    x = x.select("col", "block", "i", F.inline(planes)).withColumn("at", 8 * F.col("i") + F.col("k"))
-    x = x.withColumn("a", F.coalesce(F.lag("b").over(Window.partitionBy("col", "block").orderBy("at")), F.lit(0).cast("long")))
+    # the byte before is the lane's own, but for the first one, which follows the last one of the lane before: lanes are sorted, not bytes
+    before = F.coalesce(L.byte_plane(F.lag("lane").over(sizes.in_block()), 7), F.lit(0).cast("long"))
+    planes = F.array(*(F.struct((F.col("before") if k == 0 else L.byte_plane(F.col("lane"), k - 1)).alias("a"), L.byte_plane(F.col("lane"), k).alias("b")) for k in range(8)))
+    x = x.withColumn("before", before).select("col", "block", F.inline_outer(planes))
     c = x.groupBy("col", "block", "a", "b").agg(F.count("*").alias("c"))
     c = c.withColumn("m", F.sum("c").over(Window.partitionBy("col", "block", "a")))
     out = c.groupBy("col", "block").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("c") * F.log2(F.col("m") / F.col("c"))) / 8, 4).alias("bytes"))
@@ -583,7 +582,7 @@ def order1_entropy(spark, sf):
 
 @query(sql([sql_rows(("orders",), floats=True)], f"SELECT col, block, ({u('lane')} % 256)::BIGINT AS b, count(*) AS c FROM rows GROUP BY ALL"))
 def byte_histogram(spark, sf):
-    return rows_of(spark, sf, ("orders",), floats=True).groupBy("col", "block", L.byte_plane(F.col("lane"), 0).alias("b")).agg(F.count("*").alias("c"))
+    return rows_of(spark, sf, ("orders",), floats=True, by_block=False).groupBy("col", "block", L.byte_plane(F.col("lane"), 0).alias("b")).agg(F.count("*").alias("c"))
 
 
 # --- samples
@@ -716,10 +715,10 @@ def _sweep_sql(size: int) -> str:
 @query(" UNION ALL ".join(f"SELECT * FROM {_sweep_sql(s)}" for s in SWEEP))
 def small_block_sweep(spark, sf):
     """Bytes of each column at the fastest level by block size: where headers and narrow widths break even."""
-    x = B.lanes(numbered(spark, sf, "orders"), columns_of("orders", floats=True)).withColumn("col", F.concat(F.lit("orders."), "col"))
+    x, cols = numbered(spark, sf, "orders"), columns_of("orders", floats=True)
     parts = []
     for size in SWEEP:
-        best = sizes.winners(B.in_blocks(x, size), "fastest")
+        best = sizes.winners(B.dealt([("orders", x, cols)], size), "fastest")
         parts.append(best.groupBy("col").agg(F.count("*").alias("blocks"), (16 + F.sum(F.col("payload") + 9)).alias("bytes")).select(F.lit(size).alias("block_size"), "col", "blocks", "bytes"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -727,7 +726,7 @@ def small_block_sweep(spark, sf):
 @query(sql([sql_rows(floats=True)], f"SELECT col, count(*) AS n, 9 * count(*) + 1024 AS bound FROM rows GROUP BY col"))
 def compress_bound(spark, sf):
     """Bytes that no stream of a column passes."""
-    return rows_of(spark, sf, floats=True).groupBy("col").agg(F.count("*").alias("n")).select("col", "n", (F.col("n") * 9 + 1024).alias("bound"))
+    return rows_of(spark, sf, floats=True, by_block=False).groupBy("col").agg(F.count("*").alias("n")).select("col", "n", (F.col("n") * 9 + 1024).alias("bound"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{lv}', '{fam}', '{m.name}', {m.id}, {m.seq}, {m.weight})" for lv in LEVELS for fam in ("int", "float") for m in MODES if LEVELS.index(m.level) <= LEVELS.index(lv) and m.family in ("any", fam)) + ") t(level, family, mode, id, seq, weight)")
@@ -742,7 +741,7 @@ def scalar_functions(spark, sf):
     """Widths, lengths, masks, hashes and single bits of every lane."""
     lane = F.col("lane")
     thousand = F.expr("cast(cast(if(lane < 0, cast(lane as decimal(20,0)) + 18446744073709551616, lane) as decimal(20,0)) % 1000 as long)")
-    return rows_of(spark, sf, floats=True).select(
+    return rows_of(spark, sf, floats=True, by_block=False).select(
         "col", "pos", L.bit_width(lane).cast("int").alias("width"), L.varint_len(lane).cast("int").alias("leb"), F.greatest(F.lit(1), L.bit_width(thousand)).cast("int").alias("code_bits"),
         lane.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).alias("masked"), L.exponent(lane).alias("exponent"), L.bucket(lane).alias("bucket"), F.getbit(lane, F.lit(3)).cast("int").alias("bit3"), L.low(L.zigzag(lane)).alias("zz"),
     )
@@ -751,7 +750,7 @@ def scalar_functions(spark, sf):
 @query(sql([sql_rows()], "SELECT col, pos, lane FROM rows WHERE pos < 1000"))
 def value_cap(spark, sf):
     """The first values of each column, by position."""
-    return rows_of(spark, sf).where("pos < 1000").select("col", "pos", "lane")
+    return rows_of(spark, sf, by_block=False).where("pos < 1000").select("col", "pos", "lane")
 
 
 @query(sql([*_fast("fast", True), SQL_WIN], "SELECT mode, count(*) AS blocks, sum(payload)::BIGINT AS bytes FROM best GROUP BY mode"))
@@ -771,10 +770,13 @@ def _dominated(t: str, o: str) -> str:
     )
 )
 def pareto_frontier(spark, sf):
-    """Encodings of a column that no other one beats in both bytes and decode cost. At most twenty rows per column meet."""
+    """Encodings of a column that no other one beats in both bytes and decode cost. At most twenty rows per column meet, in an array:
+    a join with themselves would size all blocks twice."""
     c = sizes.candidates(_fast_rows(spark, sf, "fast"), "fast").groupBy("col", "mode", "weight").agg(F.sum("payload").alias("payload"))
-    t, o = c.alias("t"), c.alias("o")
-    return t.join(o, (F.col("t.col") == F.col("o.col")) & F.expr(_dominated("t", "o")), "left_anti").select("col", "mode", "payload")
+    of = c.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("mode", "payload", "weight"))).alias("all"))
+    beats = lambda o, t: (o["payload"] <= t["payload"]) & (o["weight"] <= t["weight"]) & ((o["payload"] < t["payload"]) | (o["weight"] < t["weight"]))
+    best = F.filter("all", lambda t: ~F.exists("all", lambda o: beats(o, t)))
+    return of.select("col", F.inline_outer(best)).select("col", "mode", "payload")
 
 
 # --- decimals

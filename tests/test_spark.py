@@ -266,3 +266,34 @@ def test_roundtrip_dict_of_many_users(spark, tmp_path):
     got = queries.QUERIES["roundtrip_dict"](spark, str(tmp_path))
     want = queries.rows_of(spark, str(tmp_path), ("events",), floats=True, only=queries.FITS["DICT"]).select("col", "pos", "lane")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def sql_rows_of(name, sf):
+    """Rows of a query in SQL and the order of its columns."""
+    con = duckdb.connect()
+    for t in ("events", "orders", "customer", "part"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.SQL[name])
+    return sorted(tuple(str(v).lower() for v in r) for r in want.fetchall()), want.columns
+
+
+def shuffled(spark, df):
+    """Rows of a query, and the records that its stages wrote to shuffles."""
+    store, seen = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    records = lambda: sum(x.shuffleWriteRecords() for x in map(lambda k: stages.apply(k), range(stages.size())))
+    stages = store.stageList(seen, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), seen)
+    before = records()
+    rows = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(seen, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), seen)
+    return rows, records() - before
+
+
+@pytest.mark.parametrize("name", ["pareto_frontier"])
+def test_blocks_are_shuffled_as_table_rows(spark, name):
+    """Rows of a table are shuffled, not their lanes; and once for all sizes, not once for each use of them."""
+    rows, records = shuffled(spark, queries.QUERIES[name](spark, SF))
+    want, cols = sql_rows_of(name, SF)
+    assert sorted(tuple(str(r[c]).lower() for c in cols) for r in rows) == want
+    table = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("events", "orders"))
+    assert records < 3 * table, (records, table)
