@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..config import BY_ID, BY_NAME, FRAME_BYTES, LIMBS, MAX_BLOCK, PENALTY, REGION, BadMagic, Config, CorruptPayload, FrameError, KindMismatch, LengthMismatch, Truncated, UnknownMode, UnsupportedKind, UnsupportedVersion, allowed
 from ..plans.blocks import LANES
+from ..plans.work import batched
 from . import arrays, kernels, limbs
 from .coding import U, bit_len, order1_bytes, unvarints, varints, zigzag
 
@@ -235,6 +236,7 @@ def encode(df: DataFrame, columns: Sequence[str], cfg: Config = Config(), pos: s
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for c in columns:
         arrays.limbs_of(types[c])
+    df = batched(df)
     size, groups = cfg.block_size or MAX_BLOCK, min(len(columns), GROUPS)
     parts = []
     for k in range(groups):
@@ -298,10 +300,10 @@ def decode(frames: DataFrame, permissive: bool = False) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for f in batch.to_pylist():
-                yield rows_of(f, permissive)
+            for k in range(batch.num_rows):  # one frame at a time: payloads aren't copied all at once
+                yield rows_of(batch.slice(k, 1).to_pylist()[0], permissive)
 
-    return frames.mapInArrow(run, "col string, kind string, pos long, lane long, value double, error string")
+    return batched(frames).mapInArrow(run, "col string, kind string, pos long, lane long, value double, error string")
 
 
 def restore(frames: DataFrame, schema: T.StructType | str, pos: str = "pos") -> DataFrame:
@@ -333,7 +335,7 @@ def restore(frames: DataFrame, schema: T.StructType | str, pos: str = "pos") ->
 
     ddl = T.StructType([T.StructField(pos, T.LongType()), *(f for f in fields if f.name != pos)])
     mine = frames.where(F.col("col").isin([c for c, _ in want])).withColumn("_stretch", F.expr(f"first div {MAX_BLOCK}"))
-    return mine.groupBy("_stretch").applyInArrow(run, ddl)
+    return batched(mine).groupBy("_stretch").applyInArrow(run, ddl)
 
 
 def compress(df: DataFrame, column: str, cfg: Config = Config(), pos: str = "pos") -> DataFrame:
@@ -436,7 +438,7 @@ def stream_parts(frames: DataFrame) -> DataFrame:
     """(col, first, part): a header (first -1) and a part per frame; a column's parts in order of `first` are its stream.
 
     No value holds a whole column, so that columns of any size can be written."""
-    totals = frames.groupBy("col", "kind").agg(F.sum(F.col("n") + F.col("nulls")).alias("rows"), (F.sum("nulls") > 0).alias("any"))
+    totals = batched(frames).groupBy("col", "kind").agg(F.sum(F.col("n") + F.col("nulls")).alias("rows"), (F.sum("nulls") > 0).alias("any"))
 
     def heads(batches: Iterator) -> Iterator:
         import pyarrow as pa

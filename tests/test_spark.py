@@ -297,3 +297,19 @@ def test_blocks_are_shuffled_as_table_rows(spark, name):
     assert sorted(tuple(str(r[c]).lower() for c in cols) for r in rows) == want
     table = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("events", "orders"))
     assert records < 3 * table, (records, table)
+
+
+def test_decode_takes_frames_in_small_batches(spark):
+    """A frame is a large row: a worker holds a few megabytes of them, not all of a partition."""
+    df = spark.range(4096 * 200).coalesce(1).selectExpr("id as pos", "xxhash64(id) as x")
+    coded = frames.encode(df, ["x"], Config("fastest", block_size=4096), forced="XORZ").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"n": b.num_rows, "bytes": b.nbytes}])
+
+    sizes_of = [r["bytes"] for r in coded.mapInArrow(held, "n long, bytes long").collect()]
+    assert sum(sizes_of) > 5 << 20 and max(sizes_of) < 5 << 20
+    assert frames.decode(coded).count() == 4096 * 200
