@@ -289,7 +289,7 @@ def shuffled(spark, df):
     return rows, records() - before
 
 
-@pytest.mark.parametrize("name", ["pareto_frontier"])
+@pytest.mark.parametrize("name", ["pareto_frontier", "block_features"])
 def test_blocks_are_shuffled_as_table_rows(spark, name):
     """Rows of a table are shuffled, not their lanes; and once for all sizes, not once for each use of them."""
     rows, records = shuffled(spark, queries.QUERIES[name](spark, SF))
@@ -299,6 +299,17 @@ def test_blocks_are_shuffled_as_table_rows(spark, name):
     assert records < 3 * table, (records, table)
 
 
+def test_partitions_grow_in_number(spark, monkeypatch):
+    """A task's rows are bounded by DEAL, whatever the tables' size and the number of shuffle partitions."""
+    for deal in (1 << 17, 1 << 10):
+        monkeypatch.setattr(blocks, "DEAL", deal)
+        rows = queries.rows_of(spark, SF, floats=True, size=8)
+        part = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("block").alias("b")).collect()
+        assert sum(r.n for r in part) == rows.count() and max(r.n for r in part) < 2 * deal
+        assert sum(r.b for r in part) == rows.select("block").distinct().count()
+        assert rows.rdd.getNumPartitions() == max(4, -(-sum(r.n for r in part) // deal))
+
+
 def test_decode_takes_frames_in_small_batches(spark):
     """A frame is a large row: a worker holds a few megabytes of them, not all of a partition."""
     df = spark.range(4096 * 200).coalesce(1).selectExpr("id as pos", "xxhash64(id) as x")
