@@ -289,7 +289,7 @@ def shuffled(spark, df):
     return rows, records() - before
 
 
-@pytest.mark.parametrize("name", ["pareto_frontier", "block_features", "level_totals", "stream_size_fast", "top_modes", "candidates_fast", "runner_up", "select_fast", "win_histogram", "rle_runs", "size_rle", "rle_expand", "size_dict", "fcm_prediction", "strided_sample", "dfcm_prediction", "size_pred", "order1_entropy"])
+@pytest.mark.parametrize("name", ["pareto_frontier", "block_features", "level_totals", "stream_size_fast", "top_modes", "candidates_fast", "runner_up", "select_fast", "win_histogram", "rle_runs", "size_rle", "rle_expand", "size_dict", "fcm_prediction", "strided_sample", "dfcm_prediction", "size_pred", "order1_entropy", "for_stretches"])
 def test_blocks_are_shuffled_as_table_rows(spark, name):
     """Rows of a table are shuffled, not their lanes; and once for all sizes, not once for each use of them."""
     rows, records = shuffled(spark, queries.QUERIES[name](spark, SF))
