@@ -91,7 +91,7 @@ def in_blocks(lane_rows: DataFrame, size: int) -> DataFrame:
     return lane_rows.withColumn("block", F.expr(f"pos div {size}")).withColumn("i", (F.col("pos") % size).cast("int"))
 
 
-#: Lanes that a partition of dealt() holds on average: what a task needs is bounded by this, whatever the tables' size.
+#: Lanes that a partition of dealt() holds on average: what a task behind its shuffle needs is bounded by this, whatever the tables' size.
 DEAL = 1 << 18
 
 
